@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
+from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, groups, pairs
 from ledgerloom.session import table
 
 
@@ -22,9 +23,26 @@ def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return canonical_texts(a.unionByName(b), "t").select("source_table", "record_id", "canonical").distinct()
 
 
+def _alike_fields(spark: SparkSession, sf: str):
+    clause = table(spark, sf, "policy_clause").select(F.col("clause_id").alias("id"), F.col("original_text").alias("text"))
+    title = table(spark, sf, "corpus_document").select(F.col("corpus_document_id").alias("id"), F.col("title").alias("text"))
+    return (("clause_text", clause, CLAUSE_TEXT), ("title", title, TITLE))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (pairs(docs, like).select(F.lit(field).alias("field"), "id_a", "id_b") for field, docs, like in _alike_fields(spark, sf))
+    return a.unionByName(b)
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every clause and document with words: its group, and the number of different texts its own is alike to."""
+    a, b = (groups(docs, like).select(F.lit(field).alias("field"), "id", "group_id", "links") for field, docs, like in _alike_fields(spark, sf))
+    return a.unionByName(b)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p8_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p8_ids)}
 ORACLE: dict[str, str] = {}
