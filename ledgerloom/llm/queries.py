@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
 from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, groups, pairs
+from ledgerloom.llm.spans import shared_spans, sharing_records, sharing_report
 from ledgerloom.session import table
 
 
@@ -40,9 +41,26 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda name, key, text: table(spark, sf, name).select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"))
+    return of("policy_clause", "clause_id", "original_text").unionByName(of("citation", "citation_id", "quote")).unionByName(of("rule_outcome", "outcome_id", "quote"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sharing_records(_passages(spark, sf))
+
+
+def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans(_passages(spark, sf))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return sharing_report(_passages(spark, sf))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p8_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p6_found, p6_spans, p6_report, p8_ids)}
 ORACLE: dict[str, str] = {}
