@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
 from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, groups, pairs
+from ledgerloom.llm.scans import line_faults, repaired_texts
 from ledgerloom.llm.spans import shared_spans, sharing_records, sharing_report
 from ledgerloom.session import table
 
@@ -41,6 +42,21 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _scans(spark: SparkSession, sf: str):
+    pages = table(spark, sf, "page_read").select(F.col("page_read_id").cast("string").alias("record_id"), "document_id", "page_number", F.col("layout.text").alias("text"))
+    clauses = table(spark, sf, "policy_clause").select(F.col("clause_id").alias("record_id"), "document_id", F.col("original_text").alias("text"))
+    return pages, clauses, table(spark, sf, "corpus_document").select("corpus_document_id", "title", "issuer")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return line_faults(*_scans(spark, sf))
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts as continuous paragraphs."""
+    return repaired_texts(*_scans(spark, sf))
+
+
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
     of = lambda name, key, text: table(spark, sf, name).select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"))
     return of("policy_clause", "clause_id", "original_text").unionByName(of("citation", "citation_id", "quote")).unionByName(of("rule_outcome", "outcome_id", "quote"))
@@ -62,5 +78,5 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p6_found, p6_spans, p6_report, p8_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids)}
 ORACLE: dict[str, str] = {}
