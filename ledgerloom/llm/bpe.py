@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -144,7 +145,6 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def count_tokens(docs: DataFrame, text: str, path: str = DEFAULT_PATH) -> DataFrame:
     """docs with a column `tokens`, the number of ids of its text."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(s: pd.Series) -> pd.Series:

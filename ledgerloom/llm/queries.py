@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
+from ledgerloom.llm.mixing import draw, mix_report
 from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, groups, pairs
+from ledgerloom.llm.quality import STATISTICS, scored, statistics
 from ledgerloom.llm.scans import line_faults, repaired_texts
 from ledgerloom.llm.spans import shared_spans, sharing_records, sharing_report
 from ledgerloom.session import table
@@ -78,5 +80,28 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids)}
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+
+
+def p9_draw(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document of the listed sources is used."""
+    return draw(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[0]
+
+
+def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = statistics(table(spark, sf, "documents"))
+    return stats.select("doc_id", "language", "words", *[F.round(s, 6).alias(s) for s in STATISTICS if s != "words"])
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Robust z-scores and percentiles of all statistics, and whether the document is prose."""
+    return scored(statistics(table(spark, sf, "documents")))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(statistics(table(spark, sf, "documents"))).where("words > 0 and not prose").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids, p9_report, p9_draw, p10_found, p10_stats, p10_scores)}
 ORACLE: dict[str, str] = {}
