@@ -2,11 +2,15 @@
 
 Every record is parsed against all others as the reference. The reference is indexed in blocks by content: in each window of
 LEAST characters the k-gram with the smallest hash is the window's anchor, and equal windows have equal anchors. The first pass
-finds the anchors that at least two records have. The second parses each record from left to right: where a window's
+finds the anchors that at least two records have. The next parse each record from left to right: where a window's
 anchor is in no other record it is literal text and skipped; the rest are looked up, by a hash of the whole window,
 in the reference block of that hash. A factor is a longest run of windows that all stand in another record, so
-it begins and ends exactly where the match does, and what is shorter than a window never becomes one. The block looks at each
-window, so no span is lost where a greedy factor against one reference would have cut it.
+it begins and ends exactly where the match does, and what is shorter than a window never becomes one. Every window is looked up, so no
+span is lost where a greedy factor against one reference would have cut it.
+
+To tell only which records share, one window in STRIDE, chosen by its hash, is looked up first: longer factors show
+there. For the records still open, the windows they may share, and those alone, are looked up in full, in all records: these
+are the ends of factors and the short ones.
 
 Nothing is compared pair by pair. A passage that a third of all records share leaves each batch as one row per window.
 """
@@ -25,7 +29,8 @@ from ledgerloom.llm.bagminhash import mix
 from ledgerloom.session import cut
 
 LEAST = 200  # characters (code points) of a span
-GRAM = 100  # characters of an anchor
+GRAM = 150  # characters of an anchor
+STRIDE = 16  # one window in so many is looked up first
 CHUNK = 1 << 20  # characters hashed at a time; a longer text makes its own chunk
 FILTER_LOG2 = 27  # bits of the filter of shared anchors: always 16 MB, whatever the data; it only saves work, false hits are harmless
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -92,69 +97,91 @@ def _windows(rb: pa.RecordBatch, hasher: _Hasher, least: int, gram: int) -> Iter
         yield start, first + owner[start], start - begin[start], anchor[start], h
 
 
-def _shared_anchors(texts: DataFrame, least: int, gram: int) -> DataFrame:
+def _anchor_rows(texts: DataFrame, least: int, gram: int, open_records=None, shared=None) -> DataFrame:
+    """anchor, rec (32 bits of it) of each run of windows with one anchor; of open records and shared anchors only, if filters are given."""
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for rb in batches:
+            if open_records is not None:
+                rb = rb.filter(pa.array(_hit(open_records.value, rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
             rec = rb.column(0).to_numpy(zero_copy_only=False)
             for _, row, _, anchor, _ in _windows(rb, hasher, least, gram):
                 if len(anchor):
-                    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(rec[row[new]])], names=["anchor", "rec"])
+                    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
+                    if shared is not None:
+                        new &= _hit(shared.value, anchor)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array((rec[row[new]] >> 32).astype(np.int32))], names=["anchor", "rec"])
 
-    found = texts.mapInArrow(anchors, "anchor bigint, rec bigint")
-    return found.groupBy("anchor").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b").select("anchor")
+    return texts.mapInArrow(anchors, "anchor bigint, rec int")
 
 
-def _bits(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shared_anchors(texts: DataFrame, least: int, gram: int) -> DataFrame:
+    return _anchor_rows(texts, least, gram).groupBy("anchor").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b").select("anchor")
+
+
+def _hit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     m = np.uint64((1 << FILTER_LOG2) - 1)
-    return anchor & m, (anchor >> np.uint64(32)) & m
+    at = lambda x: (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
+    return (at(key & m) & at((key >> np.uint64(32)) & m)).astype(bool)
 
 
-def _filter(anchors: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size with two bits per anchor, put together by executors in pieces of 4 KB."""
+def _filter(keys: DataFrame):
+    """A broadcast Bloom filter of fixed size with two bits per 64-bit key, put together by executors in pieces of 4 KB. A false hit costs a
+    needless look-up, nothing else."""
+    key = F.col(keys.columns[0])
     m = (1 << FILTER_LOG2) - 1
-    bit = F.explode(F.array(F.col("anchor").bitwiseAND(m), F.shiftrightunsigned("anchor", 32).bitwiseAND(m)))
-    rows = anchors.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits")).collect()
+    bit = F.explode(F.array(key.bitwiseAND(m), F.shiftrightunsigned(key, 32).bitwiseAND(m)))
+    rows = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits")).collect()
     out = np.zeros((1 << FILTER_LOG2) // 8, np.uint8)
     for r in rows:
         out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return keys.sparkSession.sparkContext.broadcast(out)
+
 
+_ALL, _FIRST, _REST = range(3)
 
-def _candidates(texts: DataFrame, least: int, gram: int, places: bool) -> DataFrame:
-    """h, rec, pos, known: the windows to look up. With places, all of them; without, of each batch only one row a window, and for
-    records whose window another record of the batch has, a row that says so (known)."""
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(_filter(_shared_anchors(texts, least, gram)))
+
+def _candidates(texts: DataFrame, anchors, least: int, gram: int, which: int) -> DataFrame:
+    """h, rec, pos, known: the windows to look up whose anchor is in the filter `anchors`. _ALL: every one. _FIRST: one in STRIDE, and one row (h null) for
+    each record that has any. _REST: the others. But for _ALL, each batch gives one row a window only, and for records
+    whose window another record of the batch has, one that says so (known)."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = _Hasher(), shared.value
-        hit = lambda x: (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
+        hasher, bits = _Hasher(), anchors.value
         for rb in batches:
             rec = rb.column(0).to_numpy(zero_copy_only=False)
-            hs, rs, ps = [], [], []
+            hs, rs, ps, some = [], [], [], []
             for start, row, pos, anchor, h in _windows(rb, hasher, least, gram):
-                a, b = _bits(anchor)
-                keep = (hit(a) & hit(b)).astype(bool)
-                if keep.any():
-                    hs.append(h.spans(least, start[keep]).view(np.int64))
+                keep = np.flatnonzero(_hit(bits, anchor))
+                if len(keep):
+                    if which == _FIRST:
+                        some.append(np.unique(rec[row[keep]]))
+                    x = h.spans(least, start[keep])
+                    if which != _ALL:
+                        chosen = (x % np.uint64(STRIDE) == 0) == (which == _FIRST)
+                        x, keep = x[chosen], keep[chosen]
+                    hs.append(x.view(np.int64))
                     rs.append(rec[row[keep]])
                     ps.append(pos[keep])
             if not hs:
                 continue
             h, r, p = np.concatenate(hs), np.concatenate(rs), np.concatenate(ps)
-            known = np.zeros(len(h), bool)
-            if not places:
+            known, missing = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            if which != _ALL:
                 o = np.lexsort((r, h))
-                h, r, p = h[o], r[o], p[o]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                h, r = h[o], r[o]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.array([], np.int64)
                 size = np.diff(np.r_[first, len(h)])
-                several = np.repeat(r[first] != r[first + size - 1], size)
+                several = np.repeat(r[first] != r[first + size - 1], size) if len(h) else np.array([], bool)
                 sure = np.unique(r[several])
-                h, r, p = np.r_[h[first], sure], np.r_[r[first], sure], np.r_[p[first], np.zeros(len(sure), np.int64)]
-                known = np.r_[np.zeros(len(first), bool), np.ones(len(sure), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(p.astype(np.int32)), pa.array(known)], names=["h", "rec", "pos", "known"])
+                any_ = np.unique(np.concatenate(some)) if some else sure[:0]
+                h = np.r_[h[first], np.zeros(len(sure) + len(any_), np.int64)]
+                r = np.r_[r[first], sure, any_]
+                p = np.zeros(len(h), np.int64)
+                known = np.r_[np.zeros(len(first), bool), np.ones(len(sure), bool), np.zeros(len(any_), bool)]
+                missing = np.r_[np.zeros(len(first), bool), np.ones(len(sure) + len(any_), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, mask=missing), pa.array(r), pa.array(p.astype(np.int32)), pa.array(known)], names=["h", "rec", "pos", "known"])
 
     return texts.mapInArrow(probe, "h bigint, rec bigint, pos int, known boolean")
 
@@ -170,14 +197,9 @@ def _look_up(rows: DataFrame, places: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(r), pa.array(p.astype(np.int32))], names=["rec", "pos"]) if places else pa.RecordBatch.from_arrays([pa.array(np.unique(r))], names=["rec"])
 
         for rb in batches:
-            h, r, p, known = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            h, r, p = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(h):
                 continue
-            if known.any():
-                yield out(r[known], p[known])
-                h, r, p = h[~known], r[~known], p[~known]
-                if not len(h):
-                    continue
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.diff(np.r_[first, len(h)])
             many = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
@@ -214,15 +236,28 @@ def sharing_records(records: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     records: source_table, record_id, text. Rows with the same table and id are one record, however often they occur: a span
     repeated inside one record alone isn't shared. Null and shorter texts share nothing; null ids are left out."""
     rows = _numbered(records).where(F.length("text") >= least).where("record_id is not null")
-    found = _look_up(_candidates(rows.select("rec", "text"), least, gram, False), False).distinct()
-    return rows.select("source_table", "record_id", "rec").join(found, "rec", "left_semi").select("source_table", "record_id").distinct()
+    texts = rows.select("rec", "text")
+    shared = _filter(_shared_anchors(texts, least, gram))
+
+    def found(windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        windows = cut(windows, name)
+        hit = _look_up(windows.where("h is not null"), False).union(windows.where("known").select("rec"))
+        return cut(hit.distinct(), f"{name}-found"), windows.where("h is null and not known").select("rec").distinct()
+
+    sure, some = found(_candidates(texts, shared, least, gram, _FIRST), "first")
+    still = _filter(some.join(sure, "rec", "left_anti"))
+    open_anchors = _filter(_anchor_rows(texts, least, gram, still, shared).select("anchor").distinct())
+    more, _ = found(_candidates(texts, open_anchors, least, gram, _REST), "rest")
+    ids = rows.select("source_table", "record_id", "rec").distinct()
+    return ids.join(sure.union(more).distinct(), "rec", "left_semi").select("source_table", "record_id")
 
 
 def shared_spans(records: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """source_table, record_id, span_start, span_end (code points, end exclusive): the longest factors of each record; factors that overlap
     or touch are one. Where rows of one record differ in text, each text's factors are given."""
     rows = _numbered(records).where(F.length("text") >= least).where("record_id is not null")
-    found = _look_up(_candidates(rows.select("rec", "text"), least, gram, True), True).distinct()
+    texts = rows.select("rec", "text")
+    found = _look_up(_candidates(texts, _filter(_shared_anchors(texts, least, gram)), least, gram, _ALL), True).distinct()
     w = W.partitionBy("rec").orderBy("pos")  # a record's own windows
     runs = found.withColumn("new", F.when(F.col("pos") - F.lag("pos").over(w) <= least, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     spans = runs.groupBy("rec", "run").agg(F.min("pos").cast("bigint").alias("span_start"), (F.max("pos") + least).cast("bigint").alias("span_end"))
