@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import general
+from ledgerloom.plans import general, reference
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (general,):
+for module in (general, reference):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
