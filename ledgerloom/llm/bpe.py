@@ -151,4 +151,5 @@ def count_tokens(docs: DataFrame, text: str, path: str = DEFAULT_PATH) -> DataFr
         enc = encoder(path)
         return pd.Series([len(enc.encode(t)) for t in s], dtype="int64")
 
-    return docs.withColumn("tokens", count(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    # not deterministic for the planner only: a filter on tokens must not encode a second time
+    return docs.withColumn("tokens", count.asNondeterministic()(F.coalesce(F.col(text).cast("string"), F.lit(""))))
