@@ -1,0 +1,97 @@
+"""Verification of quotes against the texts they cite, in tiers.
+
+Exact occurrences are counted in the JVM; only what is left goes on to Python: first a comparison of normalised texts, then a fuzzy
+one. A fuzzy match must print the same numbers and hold the same negation and modal words as the quote: similarity is never
+trusted with those.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import Counter
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.text import MODALS, NEGATIONS, occurrences
+from ledgerloom.operators.skew import salted_join
+
+LEAST_SCORE, LEAST_LEAD, LEAST_CHARS = 0.92, 0.02, 12
+_BEARING = frozenset(NEGATIONS + MODALS)
+_QUOTES = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "­": None})
+
+
+def normalised(text: str) -> str:
+    """Compatibility forms, quotes and dashes unified, control characters dropped, white space collapsed, case folded."""
+    s = unicodedata.normalize("NFKC", text).translate(_QUOTES)
+    s = "".join(c for c in s if c.isspace() or unicodedata.category(c)[0] != "C")
+    return re.sub(r"\s+", " ", s).strip().casefold()
+
+
+def numbers(text: str) -> Counter:
+    found = (re.sub(r"[,\s]", "", m).strip(".") for m in re.findall(r"\d[\d,. ]*\d|\d", text))
+    return Counter(x for x in found if x)
+
+
+def bearing(text: str) -> Counter:
+    return Counter(w for w in re.findall(r"[a-z]+", text) if w in _BEARING)
+
+
+def _fuzzy(quote: str, text: str) -> tuple[str, float]:
+    """Scores windows of the quote's length an eighth of it apart, then the best ones' surroundings place by place."""
+    n = len(quote)
+    if n < LEAST_CHARS or not text:
+        return "REJECTED", 0.0
+    match = SequenceMatcher(None, autojunk=False)
+    match.set_seq2(quote)
+
+    def score(at: int, floor: float) -> float:
+        match.set_seq1(text[at : at + n])
+        return match.ratio() if match.real_quick_ratio() >= floor and match.quick_ratio() >= floor else 0.0
+
+    step = max(1, n // 8)
+    coarse = sorted(((score(i, 0.75), -i) for i in range(0, max(1, len(text) - n + step), step)), reverse=True)[:4]
+    fine: list[tuple[float, int]] = []
+    for s, i in coarse:
+        if s > 0:
+            fine.append(max((score(k, 0.8), -k) for k in range(max(0, -i - step), -i + step + 1)))
+    fine.sort(reverse=True)
+    if not fine or fine[0][0] < LEAST_SCORE:
+        return "REJECTED", fine[0][0] if fine else 0.0
+    best, at = fine[0][0], -fine[0][1]
+    if any(abs(-k - at) > n // 2 and best - s < LEAST_LEAD for s, k in fine[1:]):
+        return "AMBIGUOUS", best
+    match.set_seq1(text[at : at + n])
+    blocks = [b for b in match.get_matching_blocks() if b.size]
+    window = text[at + blocks[0].a : at + blocks[-1].a + blocks[-1].size]
+    return ("FUZZY" if numbers(window) == numbers(quote) and bearing(window) == bearing(quote) else "REJECTED"), best
+
+
+def judge(quote: str, text: str) -> tuple[str, float]:
+    """Method and score of a quote that isn't in the text as it is."""
+    q, t = normalised(quote), normalised(text)
+    if q and (times := t.count(q)):
+        return ("NORMALISED", 1.0) if times == 1 else ("AMBIGUOUS", 1.0)
+    return _fuzzy(q, t)
+
+
+def verify_quotes(citations: DataFrame, texts: DataFrame) -> DataFrame:
+    """citation_id, method (EXACT, NORMALISED, FUZZY, AMBIGUOUS, REJECTED, NO_TEXT), score.
+
+    citations: citation_id, key, quote; texts: key, text, one row per key. Null and empty quotes give no row; a quote whose key has no text has
+    NO_TEXT and score 0. Repeated rows count once. Keys cited very often are salted."""
+    quotes = citations.where("quote <> ''").select("citation_id", "key", "quote").distinct()
+    known = texts.where("text is not null and key is not null").select("key", "text")
+    missing = quotes.join(known.select("key"), "key", "left_anti").select("citation_id", F.lit("NO_TEXT").alias("method"), F.lit(0.0).alias("score"))
+    pairs = salted_join(quotes, known, "key").withColumn("times", occurrences(F.col("text"), F.col("quote")))
+    exact = pairs.where("times > 0").select("citation_id", F.when(F.col("times") == 1, "EXACT").otherwise("AMBIGUOUS").alias("method"), F.lit(1.0).alias("score"))
+
+    @F.pandas_udf("method string, score double")
+    def rest(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(q, t) for q, t in zip(quote, text)], columns=["method", "score"])
+
+    left = pairs.where("times = 0").select("citation_id", rest("quote", "text").alias("r")).select("citation_id", "r.method", F.round("r.score", 6).alias("score"))
+    return exact.unionByName(left).unionByName(missing)

@@ -591,3 +591,106 @@ def str_windowed_events(spark, sf):
 
     out = windowed_counts(table(spark, sf, "events"), "ts", "event_type")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# ---------------------------------------------------------------- quotes and bills
+
+
+@query()
+def txt03_verified_quotes(spark, sf):
+    """All tiers: exact, normalised, fuzzy with equal numbers and bearing words, ambiguous, rejected."""
+    from ledgerloom.operators.evidence import verify_quotes
+
+    key = lambda c: F.lower(F.trim(c)).alias("key")
+    q = table(spark, sf, "citation").where("ref_type = 'policy_clause'").select("citation_id", key(F.col("ref_id")), "quote")
+    t = table(spark, sf, "policy_clause").groupBy(key(F.col("clause_id"))).agg(F.max("original_text").alias("text"))
+    return verify_quotes(q, t)
+
+
+_BILL_LINES = r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '\d[\d,]*\.\d{2}') AS t, trim(regexp_replace(regexp_replace(line, '\d[\d,]*\.\d{2}', ' ', 'g'), '[^A-Za-z]+', ' ', 'g')) AS label FROM l)"
+_VERDICT = "CASE WHEN len(t) = 0 THEN 'no_amount' WHEN regexp_matches(lower(label), '^(sub ?total|total|grand total|net|balance|gst|discount)') THEN 'summary' WHEN length(label) < 3 THEN 'no_label' WHEN len(string_split(label, ' ')) > 12 THEN 'prose' ELSE 'item' END"
+
+
+def _bill_lines(spark, sf):
+    lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    label = F.trim(F.regexp_replace(F.regexp_replace("line", money.STRICT_TOKEN, " "), "[^A-Za-z]+", " "))
+    m = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.regexp_extract_all("line", F.lit(money.STRICT_TOKEN), F.lit(0)).alias("t"), label.alias("label"))
+    summary = F.lower("label").rlike("^(sub ?total|total|grand total|net|balance|gst|discount)")
+    verdict = F.when(F.size("t") == 0, "no_amount").when(summary, "summary").when(F.length("label") < 3, "no_label").when(F.size(F.split("label", " ")) > 12, "prose").otherwise("item")
+    return m.withColumn("verdict", verdict)
+
+
+@query(f"{_BILL_LINES} SELECT doc_id, line_no, label, cast(replace(replace(t[len(t)], ',', ''), '.', '') AS BIGINT) AS paise FROM m WHERE {_VERDICT} = 'item'")
+def ing02_bill_items(spark, sf):
+    return _bill_lines(spark, sf).where("verdict = 'item'").select("doc_id", "line_no", "label", money.decimal_paise(F.element_at("t", -1)).alias("paise"))
+
+
+@query(f"{_BILL_LINES} SELECT doc_id, {_VERDICT} AS verdict, count(*) AS lines FROM m GROUP BY 1, 2")
+def ing04_line_verdicts(spark, sf):
+    return _bill_lines(spark, sf).groupBy("doc_id", "verdict").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"{_BILL_LINES}, i AS (SELECT doc_id, {_VERDICT} AS v, cast(replace(replace(t[len(t)], ',', ''), '.', '') AS BIGINT) AS paise FROM m) SELECT doc_id, coalesce(sum(CASE WHEN v = 'item' THEN paise END), 0)::BIGINT AS items, max(CASE WHEN v = 'summary' THEN paise END) AS stated FROM i GROUP BY 1 HAVING max(CASE WHEN v = 'summary' THEN paise END) IS NOT NULL")
+def agg13_bill_totals(spark, sf):
+    """What the items of a bill add up to, and the largest total it states."""
+    p = money.decimal_paise(F.element_at("t", -1))
+    rows = _bill_lines(spark, sf).where("size(t) > 0").select("doc_id", "verdict", p.alias("paise"))
+    of = lambda v: F.when(F.col("verdict") == v, F.col("paise"))
+    return rows.groupBy("doc_id").agg(F.coalesce(F.sum(of("item")), F.lit(0)).alias("items"), F.max(of("summary")).alias("stated")).where("stated is not null")
+
+
+_ROLES = {"bill": ("bill", "qty", "rate", "amount"), "settlement": ("settlement", "deduct", "payable", "final"), "policy": ("section", "cover", "means", "policy")}
+
+
+@query("WITH s AS (SELECT doc_id, " + ", ".join(f"{' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::INT' for w in ws)} AS {r}" for r, ws in _ROLES.items()) + " FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN greatest(bill, settlement, policy) = 0 THEN 'unknown' WHEN bill = greatest(bill, settlement, policy) THEN 'bill' WHEN settlement = greatest(bill, settlement, policy) THEN 'settlement' ELSE 'policy' END AS role FROM s")
+def ing13_role_proposals(spark, sf):
+    """The role most of whose words a document has; the first listed of several."""
+    low = F.lower("text")
+    score = {r: sum((low.contains(w).cast("int") for w in ws), F.lit(0)) for r, ws in _ROLES.items()}
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", *[c.alias(r) for r, c in score.items()])
+    top = F.greatest(*_ROLES)
+    return d.select("doc_id", F.when(top == 0, "unknown").otherwise(F.coalesce(*[F.when(F.col(r) == top, r) for r in _ROLES])).alias("role"))
+
+
+@query("SELECT document_id, page_number, count(*) AS readings, count(DISTINCT sha256(layout.text)) AS texts, count_if(layout.text IS NULL) AS without_text FROM page_read GROUP BY 1, 2")
+def src01_page_readings(spark, sf):
+    """How often each page was read, and whether the readings agree."""
+    return table(spark, sf, "page_read").groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("readings"), F.countDistinct(F.sha2("layout.text", 256)).alias("texts"), F.count_if(F.col("layout.text").isNull()).alias("without_text"))
+
+
+@query("WITH p AS (SELECT DISTINCT ON (page_read_id) page_read_id, document_id, page_number, layout.method AS method, layout.text AS t FROM page_read), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, page_read_id) AS k FROM p WHERE method = 'ocr' OR t IS NULL OR length(t) < 12) SELECT document_id, page_read_id FROM n WHERE k <= 250")
+def src03_scan_pages(spark, sf):
+    """The pages of a document that need a scan, up to the page cap of a document, which is the feature."""
+    p = table(spark, sf, "page_read").dropDuplicates(["page_read_id"]).select("page_read_id", "document_id", "page_number", F.col("layout.method").alias("method"), F.col("layout.text").alias("t"))
+    need = p.where("method = 'ocr' or t is null or length(t) < 12")
+    return need.withColumn("k", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "page_read_id"))).where("k <= 250").select("document_id", "page_read_id")
+
+
+@query("SELECT doc_id, '<document_text role=\"' || coalesce(source, 'unknown') || '\">' || chr(10) || regexp_replace(text, '" + tx.ZERO_WIDTH + "', '', 'g') || chr(10) || '</document_text>' AS wrapped FROM documents WHERE text IS NOT NULL")
+def txt12_wrapped(spark, sf):
+    body = F.regexp_replace("text", tx.ZERO_WIDTH, "")
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(F.lit('<document_text role="'), F.coalesce("source", F.lit("unknown")), F.lit('">\n'), body, F.lit("\n</document_text>")).alias("wrapped"))
+
+
+@query("WITH l AS (SELECT DISTINCT page_read_id, document_id, trim(line) AS line FROM (SELECT page_read_id, document_id, unnest(string_split(layout.text, chr(10))) AS line FROM page_read WHERE layout.text IS NOT NULL)), p AS (SELECT document_id, count(DISTINCT page_read_id) AS pages FROM page_read WHERE layout.text IS NOT NULL GROUP BY 1), n AS (SELECT document_id, line, count(*) AS n FROM l WHERE line <> '' GROUP BY 1, 2) SELECT document_id, line, n FROM n JOIN p USING (document_id) WHERE n >= 4 AND 2 * n >= pages")
+def agg16_boilerplate(spark, sf):
+    """Lines on at least four pages and half of the pages of a document."""
+    p = table(spark, sf, "page_read").where("layout.text is not null").select("page_read_id", "document_id", F.col("layout.text").alias("t"))
+    lines = p.select("page_read_id", "document_id", F.explode(F.split("t", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''").distinct()
+    n = lines.groupBy("document_id", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    pages = p.groupBy("document_id").agg(F.countDistinct("page_read_id").alias("pages"))
+    return n.join(pages, "document_id").where("2 * n >= pages").select("document_id", "line", "n")
+
+
+@query("SELECT finding_id, count(*) AS citations, count_if(verified) AS verified, count(DISTINCT ref_type) AS kinds, min(cited_at) AS first_cited, max(cited_at) AS last_cited FROM (SELECT DISTINCT * FROM citation) WHERE finding_id IS NOT NULL GROUP BY 1")
+def agg23_finding_counts(spark, sf):
+    c = table(spark, sf, "citation").where("finding_id is not null").distinct()
+    return c.groupBy("finding_id").agg(F.count(F.lit(1)).alias("citations"), F.count_if("verified").alias("verified"), F.countDistinct("ref_type").alias("kinds"), F.min("cited_at").alias("first_cited"), F.max("cited_at").alias("last_cited"))
+
+
+@query("SELECT DISTINCT d.corpus_document_id, d.superseded_by, CASE WHEN n.corpus_document_id IS NULL THEN 'successor missing' WHEN n.effective_from > d.superseded_on THEN 'gap' ELSE 'ok' END AS chain FROM corpus_document d LEFT JOIN (SELECT corpus_document_id, max(effective_from) AS effective_from FROM corpus_document GROUP BY 1) n ON d.superseded_by = n.corpus_document_id WHERE d.superseded_by IS NOT NULL")
+def cor10_supersession(spark, sf):
+    d = table(spark, sf, "corpus_document")
+    nxt = d.groupBy(F.col("corpus_document_id").alias("superseded_by")).agg(F.max("effective_from").alias("next_from"), F.lit(True).alias("there"))
+    j = d.where("superseded_by is not null").select("corpus_document_id", "superseded_by", "superseded_on").join(nxt, "superseded_by", "left")
+    return j.select("corpus_document_id", "superseded_by", F.when(F.col("there").isNull(), "successor missing").when(F.col("next_from") > F.col("superseded_on"), "gap").otherwise("ok").alias("chain")).distinct()
