@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bagminhash import bands, mix, signatures
@@ -20,6 +21,8 @@ from ledgerloom.session import cut
 _WORDS = re.compile(r"[a-z0-9]+").findall
 EXPAND = 64  # copies: classes up to this size are expanded into all pairs, larger ones are given as pairs with their representative
 BATCH_ITEMS = 150_000
+COUNTERS = 1 << 16  # buckets are counted in so many counters
+CROWD = 1_000  # a bucket of at most so many classes, beside three times the mean of a counter, is paired within; fuller ones take the exact way
 
 
 @dataclass(frozen=True)
@@ -102,23 +105,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[tuple
             yield part.column(0), bag, run, count, len(texts)
 
 
-def membership(docs: DataFrame, like: Likeness) -> DataFrame:
-    """id, cls: the class of equal bags of each record that has any run."""
+def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
+    """id, cls, bands: the class of equal bags of each record that has any run, and, once in each task that meets the class, its buckets."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bag, run, count, n in _chunks(batches, like):
-            key, total = _bag_keys(bag, run, count, n)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(total > 0)), pa.array(key[total > 0])], names=["id", "cls"])
-
-    return docs.mapInArrow(keys, "id string, cls bigint").where("id is not null").distinct()
-
-
-def _bucket_rows(docs: DataFrame, like: Likeness) -> DataFrame:
-    """band, cls: the buckets of each class, given once by each task that meets the class."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, bag, run, count, n in _chunks(batches, like):
+        for ids, bag, run, count, n in _chunks(batches, like):
             key, total = _bag_keys(bag, run, count, n)
             new = np.zeros(n, bool)
             for i in np.flatnonzero(total):
@@ -129,18 +121,53 @@ def _bucket_rows(docs: DataFrame, like: Likeness) -> DataFrame:
             number = np.cumsum(new) - 1
             keep = new[bag] if len(bag) else np.array([], bool)
             bag, run, count = number[bag[keep]], run[keep], count[keep]
-            key, bags = key[new], int(new.sum())
+            bags = int(new.sum())
             ends = np.searchsorted(bag, np.arange(bags + 1))
-            a = 0
+            hs, a = np.zeros((bags, like.bands), np.int64), 0
             while a < bags:  # as many bags at a time as have BATCH_ITEMS runs
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + BATCH_ITEMS, side="right")) - 1)
                 s = slice(ends[a], ends[b])
-                sig = signatures(bag[s] - a, run[s], count[s], b - a, like.rows * like.bands)
-                hs = bands(sig, like.rows)
-                yield pa.RecordBatch.from_arrays([pa.array(hs.ravel()), pa.array(np.repeat(key[a:b], hs.shape[1]))], names=["band", "cls"])
+                hs[a:b] = bands(signatures(bag[s] - a, run[s], count[s], b - a, like.rows * like.bands), like.rows)
                 a = b
+            some, first = total > 0, new[total > 0]
+            offsets = np.r_[0, np.cumsum(np.where(first, like.bands, 0))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hs.ravel()))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(key[some]), lists], names=["id", "cls", "bands"])
+
+    return docs.mapInArrow(sign, "id string, cls bigint, bands array<bigint>").where("id is not null")
 
-    return docs.select("id", "text").mapInArrow(emit, "band bigint, cls bigint")
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """counter: the counters of buckets too full for pairing. Buckets are counted in COUNTERS counters, so what is shuffled and broadcast is bounded; a
+    counter holds at least as many rows as its fullest bucket, so none is missed."""
+    counts = cut(rows.groupBy("counter").agg(F.count(F.lit(1)).alias("n")), "counters")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > CROWD + 3 * total // COUNTERS).select("counter")
+
+
+def _exact_candidates(classes: DataFrame, members: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """a, b: all pairs of the given classes that can be alike, by the prefix filter: two bags of that overlap share one of their rarest
+    runs. Nothing is missed, and full buckets don't matter here."""
+    one = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+    texts = docs.join(one, "id").dropDuplicates(["id"]).select("cls", "text")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = _Bags(like)
+        for rb in batches:
+            cls = rb.column(0).to_numpy(zero_copy_only=False)
+            bag, run, count = bags.of(rb.column(1).to_pylist())
+            size = np.bincount(bag, weights=count, minlength=len(cls)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[bag]), pa.array(run.view(np.int64)), pa.array(count), pa.array(size[bag])], names=["cls", "run", "count", "size"])
+
+    runs = cut(texts.mapInArrow(explode, "cls bigint, run bigint, count bigint, size bigint"), "runs")
+    df = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+    w = W.partitionBy("cls").orderBy("df", "run").rowsBetween(W.unboundedPreceding, -1)  # the runs of one text
+    before = F.coalesce(F.sum("count").over(w), F.lit(0))
+    prefix = runs.join(df, "run").withColumn("before", before).where(F.col("before") <= F.col("size") - F.ceil(F.col("size") * (like.threshold - 1e-9))).select("cls", "run", "size")
+    prefix = cut(prefix, "prefix")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = (F.col("x.size") >= F.col("y.size") * like.threshold - 1e-6) & (F.col("y.size") >= F.col("x.size") * like.threshold - 1e-6)
+    return x.join(y, F.col("x.run") == F.col("y.run")).where("x.cls < y.cls").where(near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
 def class_pairs(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
@@ -149,11 +176,20 @@ def class_pairs(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     docs: id, text. Null ids are left out; null texts and texts without a run of words have no class. Repeated rows count
     once. Similarity is exact: the overlap of every candidate's bags is counted from the whole texts."""
     docs = docs.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    members = cut(membership(docs, like), "members")
-    rows = _bucket_rows(docs, like).repartition("band").dropDuplicates(["band", "cls"])
-    x, y = rows.alias("x"), rows.alias("y")
-    candidates = x.join(y, F.col("x.band") == F.col("y.band")).where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    candidates = cut(candidates, "candidates")
+    signed = cut(_signed(docs, like), "signed")
+    members = signed.select("id", "cls").distinct()
+    counter = F.pmod("band", F.lit(COUNTERS)).cast("int")
+    rows = signed.where("size(bands) > 0").select(F.explode("bands").alias("band"), "cls").withColumn("counter", counter)
+    crowded = _crowded(rows)
+    full = crowded.count()
+    loose = rows.join(F.broadcast(crowded), "counter", "left_anti") if full else rows
+    loose = loose.select("band", "cls").repartition("band").dropDuplicates(["band", "cls"])
+    x, y = loose.alias("x"), loose.alias("y")
+    candidates = x.join(y, F.col("x.band") == F.col("y.band")).where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    if full:
+        packed = rows.join(F.broadcast(crowded), "counter", "left_semi").select("cls").distinct()
+        candidates = candidates.union(_exact_candidates(packed, members, docs, like))
+    candidates = cut(candidates.distinct(), "candidates")
     # one text of each class that has a candidate
     wanted = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
     one = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))

@@ -66,6 +66,15 @@ def test_large_classes_and_groups(spark):
     assert groups == {i: ("c000", 1) for i, _ in copies} | {"near": ("c000", 1), "far": ("far", 0)}
 
 
+@pytest.mark.parametrize("like", [nd.CLAUSE_TEXT, nd.Likeness(2, 0.7, 5, 60, multiset=True)])
+def test_crowded_buckets(spark, monkeypatch, like):
+    """With every bucket too full, the exact way alone finds all pairs."""
+    monkeypatch.setattr(nd, "CROWD", -(10**9))
+    rows = sample(random.Random(8), 30) + [("n", None), ("e", ""), ("s", "w1 w2 w3"), ("d", "w1 w2 w3 w1 w2 w3 w1")]
+    got = {tuple(r) for r in nd.pairs(spark.createDataFrame(rows, "id string, text string"), like).collect()}
+    assert got == brute(rows, like)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert nd.pairs(df, nd.TITLE).count() == nd.groups(df, nd.TITLE).count() == 0
