@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "12g", **extra: str) -> SparkSession:
@@ -55,4 +56,15 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     later costs a read of these files, not a recomputation. Column pruning still reaches the files."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that cut has written in this Python process so far, once results that read them have been stored. Returns their number."""
+    conf, n = spark._jsc.hadoopConfiguration(), len(_WRITTEN)
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    _WRITTEN.clear()
+    return n

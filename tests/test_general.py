@@ -108,6 +108,17 @@ def test_snapshots(spark, tmp_path):
     assert store.publish(df.limit(1), "v1") != sid
 
 
+def test_cut_and_release(spark):
+    import os
+
+    from ledgerloom.session import cut, release
+
+    df = cut(spark.createDataFrame([(1, None)], "a int, b string"), "probe")
+    path = df.inputFiles()[0][7:]
+    assert df.columns == ["a", "b"] and os.path.exists(path)
+    assert release(spark) >= 1 and not os.path.exists(path)
+
+
 def test_generic_diff(spark):
     e = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "b", None)], "snapshot bigint, key string, h string")
     p = spark.createDataFrame([(1, 2)], "from_id bigint, to_id bigint")
