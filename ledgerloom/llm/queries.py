@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import oracles
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
 from ledgerloom.llm.mixing import draw, mix_report
@@ -104,4 +105,4 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids, p9_report, p9_draw, p10_found, p10_stats, p10_scores)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracles.ORACLE)
