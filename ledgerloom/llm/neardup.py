@@ -106,10 +106,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[tuple
 
 
 def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
-    """id, cls, bands: the class of equal bags of each record that has any run, and, once in each task that meets the class, its buckets."""
+    """id, cls, bands: the class of equal bags of each record that has any run, and, once in each task that meets the class, its buckets. Rows
+    without bands and with n count the buckets of a task: cls is the counter."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        counts = np.zeros(COUNTERS, np.int64)
         for ids, bag, run, count, n in _chunks(batches, like):
             key, total = _bag_keys(bag, run, count, n)
             new = np.zeros(n, bool)
@@ -131,16 +133,19 @@ def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
                 a = b
             some, first = total > 0, new[total > 0]
             offsets = np.r_[0, np.cumsum(np.where(first, like.bands, 0))].astype(np.int32)
+            counts += np.bincount(hs.ravel() % COUNTERS, minlength=COUNTERS)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hs.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(key[some]), lists], names=["id", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(key[some]), lists, pa.nulls(int(some.sum()), pa.int64())], names=["id", "cls", "bands", "n"])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(counts[at])], names=["id", "cls", "bands", "n"])
 
-    return docs.mapInArrow(sign, "id string, cls bigint, bands array<bigint>").where("id is not null")
+    return docs.where("id is not null").mapInArrow(sign, "id string, cls bigint, bands array<bigint>, n bigint")
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """counter: the counters of buckets too full for pairing. Buckets are counted in COUNTERS counters, so what is shuffled and broadcast is bounded; a
+def _crowded(signed: DataFrame) -> DataFrame:
+    """counter: the counters of buckets too full for pairing. There are COUNTERS counters, so what is shuffled and broadcast is bounded; a
     counter holds at least as many rows as its fullest bucket, so none is missed."""
-    counts = cut(rows.groupBy("counter").agg(F.count(F.lit(1)).alias("n")), "counters")
+    counts = cut(signed.where("n is not null").groupBy(F.col("cls").alias("counter")).agg(F.sum("n").alias("n")), "counters")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.where(F.col("n") > CROWD + 3 * total // COUNTERS).select("counter")
 
@@ -177,14 +182,16 @@ def class_pairs(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     once. Similarity is exact: the overlap of every candidate's bags is counted from the whole texts."""
     docs = docs.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     signed = cut(_signed(docs, like), "signed")
-    members = signed.select("id", "cls").distinct()
-    counter = F.pmod("band", F.lit(COUNTERS)).cast("int")
-    rows = signed.where("size(bands) > 0").select(F.explode("bands").alias("band"), "cls").withColumn("counter", counter)
-    crowded = _crowded(rows)
+    members = signed.where("n is null").select("id", "cls").distinct()
+    rows = signed.where("size(bands) > 0").select(F.explode("bands").alias("band"), "cls").withColumn("counter", F.pmod("band", F.lit(COUNTERS)))
+    crowded = _crowded(signed)
     full = crowded.count()
     loose = rows.join(F.broadcast(crowded), "counter", "left_anti") if full else rows
-    loose = loose.select("band", "cls").repartition("band").dropDuplicates(["band", "cls"])
-    x, y = loose.alias("x"), loose.alias("y")
+    # only buckets with two classes or more go on; one sort finds them
+    w = W.partitionBy("band")
+    shared = loose.select("band", "cls").withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w)).where("low <> high").select("band", "cls")
+    shared = cut(shared.distinct(), "shared")
+    x, y = shared.alias("x"), shared.alias("y")
     candidates = x.join(y, F.col("x.band") == F.col("y.band")).where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     if full:
         packed = rows.join(F.broadcast(crowded), "counter", "left_semi").select("cls").distinct()
