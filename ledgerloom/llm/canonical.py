@@ -91,11 +91,23 @@ def _unstable() -> re.Pattern:
     return re.compile(f"[^{cls}]?[{cls}]+")
 
 
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
 def canonical(text: str | None) -> str | None:
-    """Null stays null, empty stays empty; ASCII text is returned as it is."""
+    """Null stays null, empty stays empty; ASCII text is returned as it is. All ASCII is stable, so only the other runs, each with the character
+    before it, are checked closely."""
     if text is None or text.isascii():
         return text
-    return _unstable().sub(lambda m: _segment(m[0]), text)
+    fix, out, last = _unstable().sub, [], 0
+    for m in _NOT_ASCII.finditer(text):
+        a = max(last, m.start() - 1)
+        segment = text[a : m.end()]
+        new = fix(lambda x: _segment(x[0]), segment)
+        if new != segment:
+            out += (text[last:a], new)
+            last = m.end()
+    return "".join(out) + text[last:] if out else text
 
 
 def canonical_column(c: Column) -> Column:
