@@ -115,6 +115,7 @@ class Hierarchy:
         self.circles = cut(circles.distinct(), "circles") if n_lost or n_stuck else circles
         self.any_circle = bool(n_lost or n_stuck)
         self._none = none
+        self._up: DataFrame | None = None
 
     def on_circle(self) -> DataFrame:
         """grp, label of the nodes that are their own ancestor, in one step or more."""
@@ -128,15 +129,59 @@ class Hierarchy:
         return roots.unionByName(self.walks.join(ends, "ptr").select("id", F.concat("seg", "rest").alias("up")))
 
     def descendants(self) -> DataFrame:
-        """grp, ancestor, descendant, distance: one row for each node of a tree and each of its ancestors."""
+        """grp, ancestor, descendant, distance: one row for each node of a tree and each of its ancestors. all_descendants() has those of
+        the other nodes too."""
         pairs = self.ancestors().select("id", F.posexplode("up").alias("pos", "a"))
         return pairs.join(self.nodes.select("id", "grp", "label"), "id").select("grp", F.col("a.label").alias("ancestor"), F.col("label").alias("descendant"), (F.col("pos") + 1).cast("bigint").alias("distance"))
 
+    def tree_up(self) -> DataFrame:
+        """ancestors(), written once."""
+        if self._up is None:
+            self._up = cut(self.ancestors(), "up")
+        return self._up
+
+    def circling(self) -> DataFrame:
+        """id, up: the ancestors, nearest first and each once, of the nodes on circles and below them. A node on a circle comes last in its
+        own list; below a circle the list ends where the way round would come to its first node again."""
+        if not self.any_circle:
+            return self.links.select("id", F.expr(f"cast(array() as {_HOP})").alias("up")).where("false")
+        step = F.array(F.struct(F.col("pid").alias("id"), F.col("plabel").alias("label")))
+        ring = self.links.join(self.circles, "id", "left_semi").select("id", F.col("pid").alias("ptr"), step.alias("seg"))
+        # each circle is opened at its smallest id: low is the smallest of the next 2^k nodes, and when a round changes none, of the whole circle
+        jump, total = cut(ring.select("id", "ptr", F.least("id", "ptr").alias("low")), "low"), None
+        while (now := jump.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0]) != total:
+            total = now
+            ahead = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+            jump = cut(jump.join(ahead, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")), "low")
+        opened = cut(ring.join(jump.select("id", "low"), "id").select("id", "ptr", "seg", (F.col("ptr") == F.col("low")).alias("done")), "opened")
+        walks = cut(self._double(opened, "ring")[0], "round")  # the smallest node's own walk goes round the whole circle
+        whole = walks.where("id = ptr").select("ptr", F.col("seg").alias("all"))
+        rounds = cut(walks.join(whole, "ptr").select("id", F.concat("seg", F.slice("all", F.lit(1), F.size("all") - F.size("seg"))).alias("up")), "rounds")
+        # what hangs below walks to the circle, and from there once round
+        trees = self.tree_up().select("id")
+        below = self.links.join(trees, "id", "left_anti").join(self.circles, "id", "left_anti").select("id", F.col("pid").alias("ptr"), step.alias("seg"))
+        ends = self.circles.select(F.col("id").alias("ptr"), F.lit(True).alias("end"))
+        hang = cut(below.join(ends, "ptr", "left").select("id", "ptr", "seg", F.coalesce("end", F.lit(False)).alias("done")), "hang")
+        below = self._double(hang, "below")[0]
+        on = rounds.select(F.col("id").alias("ptr"), F.slice("up", F.lit(1), F.size("up") - 1).alias("rest"))
+        return rounds.unionByName(below.join(on, "ptr").select("id", F.concat("seg", "rest").alias("up")))
+
+    def all_descendants(self) -> DataFrame:
+        """grp, ancestor, descendant, distance: one row for each node, of trees or not, and each of its ancestors. A node on a circle is
+        its own descendant, once round."""
+        pairs = self.tree_up().unionByName(self.circling()).select("id", F.posexplode("up").alias("pos", "a"))
+        return pairs.join(self.nodes.select("id", "grp", "label"), "id").select("grp", F.col("a.label").alias("ancestor"), F.col("label").alias("descendant"), (F.col("pos") + 1).cast("bigint").alias("distance"))
+
+    def counts(self) -> DataFrame:
+        """grp, label, descendants: the number of descendants of every node, counted as in all_descendants."""
+        n = self.tree_up().unionByName(self.circling()).select(F.explode("up.id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        return self.nodes.join(n, "id", "left").select("grp", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("descendants"))
+
     def table(self) -> DataFrame:
         """grp, label, state (tree, circle, below_circle), path, depth, root, descendants.
 
         path goes from the root's label to the node's own; depth is 0 for roots. For circles and what hangs below them,
-        path, depth, root and descendants are null: they have no root, and their descendants no end."""
+        path, depth and root are null, as they have no root; descendants is given for trees only, and for all nodes by counts()."""
         up = cut(self.ancestors(), "up")
         count = up.select(F.explode("up.id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
         out = self.nodes.select("id", "grp", "label").join(up, "id", "left").join(count, "id", "left").join(self.circles.withColumn("ring", F.lit(True)), "id", "left")

@@ -28,6 +28,15 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return _hierarchy(spark, sf).descendants().withColumnRenamed("grp", "corpus_document_id")
 
 
+def p1_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Descendants of every spec, also of those on circles and below them."""
+    return _hierarchy(spark, sf).all_descendants().withColumnRenamed("grp", "corpus_document_id")
+
+
+def p1_all_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _hierarchy(spark, sf).counts().withColumnRenamed("grp", "corpus_document_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return diff_builds(table(spark, sf, "corpus_build"))
 
@@ -50,7 +59,7 @@ def p7_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return _orphans(spark, sf).groupBy("source_table", "reason", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_summary, p7_found, p7_by_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_descendants, p1_all_counts, p2_found, p2_summary, p7_found, p7_by_month)}
 
 _SPECS = r"""
 specs AS (
@@ -66,6 +75,11 @@ _DOWN = """down AS (
   SELECT corpus_document_id, key, label, label AS path, 0::BIGINT AS depth, label AS root, [label] AS chain FROM links WHERE pkey IS NULL
   UNION ALL
   SELECT l.corpus_document_id, l.key, l.label, d.path || ' / ' || l.label, d.depth + 1, d.root, list_append(d.chain, l.label) FROM down d JOIN links l ON l.corpus_document_id = d.corpus_document_id AND l.pkey = d.key)"""
+_ROUND = """walk AS (
+  SELECT corpus_document_id, key, label, pkey AS up, plabel AS ancestor, 1::BIGINT AS distance, [pkey] AS seen FROM links WHERE pkey IS NOT NULL
+  UNION ALL
+  SELECT w.corpus_document_id, w.key, w.label, l.pkey, l.plabel, w.distance + 1, list_append(w.seen, l.pkey) FROM walk w JOIN links l ON l.corpus_document_id = w.corpus_document_id AND l.key = w.up
+  WHERE l.pkey IS NOT NULL AND NOT list_contains(w.seen, l.pkey))"""
 _DIFF = r"""
 heads AS (
   SELECT lag(build_id) OVER (PARTITION BY source_root ORDER BY created_on) AS from_build, build_id AS to_build FROM (
@@ -118,6 +132,9 @@ ORACLE = {
       FROM links l LEFT JOIN down d ON d.corpus_document_id = l.corpus_document_id AND d.key = l.key
       LEFT JOIN kids k ON k.corpus_document_id = l.corpus_document_id AND k.key = l.key LEFT JOIN ring r ON r.corpus_document_id = l.corpus_document_id AND r.key = l.key""",
     "p1_descendants": f"WITH RECURSIVE {_SPECS}, {_DOWN} SELECT corpus_document_id, chain[i] AS ancestor, label AS descendant, depth + 1 - i AS distance FROM down, unnest(range(1, depth + 1)) AS t(i)",
+    "p1_all_descendants": f"WITH RECURSIVE {_SPECS}, {_ROUND} SELECT corpus_document_id, ancestor, label AS descendant, distance FROM walk",
+    "p1_all_counts": f"""WITH RECURSIVE {_SPECS}, {_REACH}, kids AS (SELECT corpus_document_id, up AS key, count(*) AS n FROM reach GROUP BY 1, 2)
+      SELECT l.corpus_document_id, l.label, coalesce(k.n, 0) AS descendants FROM links l LEFT JOIN kids k ON k.corpus_document_id = l.corpus_document_id AND k.key = l.key""",
     "p2_found": f"WITH {_DIFF} SELECT * FROM found WHERE change IS NOT NULL",
     "p2_summary": f"WITH {_DIFF} SELECT from_build, to_build, change, count(*) AS documents FROM found WHERE change IS NOT NULL GROUP BY 1, 2, 3",
     "p7_found": f"WITH {_ORPHANS} SELECT source_table, record_id, ref_key, reason FROM found WHERE reason IS NOT NULL",

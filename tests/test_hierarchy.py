@@ -61,3 +61,21 @@ def test_dirty_rows(spark):
 def test_empty(spark):
     h = build(spark, [])
     assert h.table().count() == h.on_circle().count() == h.descendants().count() == 0
+
+
+@pytest.mark.parametrize("split", [1, 3, 1000])
+def test_descendants_on_and_below_circles(spark, split):
+    r = random.Random(split + 7)
+    par = {("a", str(i)): ("a", str(r.randrange(-3, 50))) for i in range(50)}
+    par |= {("c", str(i)): ("c", str((i + 1) % 13)) for i in range(13)} | {("c", "x"): ("c", "3"), ("c", "y"): ("c", "x"), ("c", "z"): ("c", "x"), ("s", "1"): ("s", "1"), ("s", "2"): ("s", "1")}
+    h = build(spark, [(d, x, p[1], 1) for (d, x), p in par.items()], split_every=split)
+    want = set()
+    for k in par:
+        seen, up = [], par[k]
+        while up in par and up not in seen:
+            seen.append(up)
+            up = par[up]
+        want |= {(k[0], a[1], k[1], n + 1) for n, a in enumerate(seen)}
+    got = [tuple(x) for x in h.all_descendants().collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {(x.grp, x.label): x.descendants for x in h.counts().collect()} == {k: sum((d, a) == k for d, a, _, _ in want) for k in par}
