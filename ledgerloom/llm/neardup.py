@@ -20,6 +20,7 @@ from ledgerloom.session import cut
 
 _WORDS = re.compile(r"[a-z0-9]+").findall
 EXPAND = 64  # copies: classes up to this size are expanded into all pairs, larger ones are given as pairs with their representative
+BLOCK = 512  # members of a class are paired in blocks of about so many
 BATCH_ITEMS = 150_000
 COUNTERS = 1 << 16  # buckets are counted in so many counters
 CROWD = 1_000  # a bucket of at most so many classes, beside three times the mean of a counter, is paired within; fuller ones take the exact way
@@ -224,8 +225,26 @@ def class_pairs(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     return cut(pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint, similarity double"), "alike"), members
 
 
+def all_pairs(docs: DataFrame, like: Likeness) -> DataFrame:
+    """id_a, id_b of all alike records, id_a < id_b, whatever the size of their classes: as many rows as there are pairs.
+
+    The members of a class are dealt to blocks of about BLOCK, and pairs of blocks are joined, so no task pairs whole large classes."""
+    alike, members = class_pairs(docs, like)
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "sizes")
+    dealt = cut(salted_join(members, sizes, "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "dealt")
+    own = sizes.where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    x, y = sizes.select(F.col("cls").alias("a"), F.col("blocks").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("blocks").alias("nb"))
+    each = alike.select("a", "b").unionByName(own).join(x, "a").join(y, "b").withColumn("ka", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("kb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    each = cut(each.where("a <> b or ka <= kb").select("a", "b", "ka", "kb"), "blocks")
+    left = each.join(dealt.select(F.col("cls").alias("a"), F.col("block").alias("ka"), F.col("id").alias("ia")), ["a", "ka"])
+    right = each.join(dealt.select(F.col("cls").alias("b"), F.col("block").alias("kb"), F.col("id").alias("ib")), ["b", "kb"])
+    both = left.join(right, ["a", "b", "ka", "kb"]).where("ia <> ib")
+    return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
 def pairs(docs: DataFrame, like: Likeness) -> DataFrame:
-    """id_a, id_b of alike records, id_a < id_b.
+    """id_a, id_b of alike records, id_a < id_b, in a short form; all_pairs has all of them.
 
     Records of equal bags are alike too. Up to EXPAND of them are paired with each other and with all records like them;
     a larger class is given in the short form: each record with the class's representative, its smallest id, and the representative

@@ -9,7 +9,7 @@ from ledgerloom.llm import oracles
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
 from ledgerloom.llm.mixing import draw, mix_report
-from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, groups, pairs
+from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, all_pairs, groups
 from ledgerloom.llm.quality import STATISTICS, scored, statistics
 from ledgerloom.llm.scans import line_faults, repaired_texts
 from ledgerloom.llm.spans import shared_spans, sharing_records, sharing_report
@@ -35,7 +35,7 @@ def _alike_fields(spark: SparkSession, sf: str):
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (pairs(docs, like).select(F.lit(field).alias("field"), "id_a", "id_b") for field, docs, like in _alike_fields(spark, sf))
+    a, b = (all_pairs(docs, like).select(F.lit(field).alias("field"), "id_a", "id_b") for field, docs, like in _alike_fields(spark, sf))
     return a.unionByName(b)
 
 

@@ -87,3 +87,13 @@ def test_found(spark, sf):
     read = lambda t, a, b: [tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(a, b).distinct().collect()]
     want = {("clause_text", *p) for p in brute(read("policy_clause", "clause_id", "original_text"), nd.CLAUSE_TEXT)} | {("title", *p) for p in brute(read("corpus_document", "corpus_document_id", "title"), nd.TITLE)}
     assert got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_all_pairs_of_large_classes(spark, monkeypatch):
+    """Titles of one set of words are alike, whatever their order and case, and so are all records like them."""
+    monkeypatch.setattr(nd, "BLOCK", 20)
+    words = "alpha beta gamma delta epsilon zeta eta".split()
+    r = random.Random(2)
+    rows = [(f"t{k:03}", " ".join(r.sample(words, 7)).title()) for k in range(nd.EXPAND + 20)] + [(f"u{k}", " ".join(words + ["theta"])) for k in range(30)] + [("v", "other words"), ("w", None)]
+    got = [tuple(x) for x in nd.all_pairs(spark.createDataFrame(rows, "id string, text string"), nd.TITLE).collect()]
+    assert set(got) == brute(rows, nd.TITLE) and len(got) == len(set(got)) == 114 * 113 // 2
