@@ -40,11 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset
-    (a single machine, as in tests) a temporary folder is made, and removed when Python ends."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset on a single machine, as in
+    tests, a temporary folder is made, and removed when Python ends; a cluster without the setting raises RuntimeError, as its
+    executors couldn't read each other's files."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
     if not _OWN_DIRS or not os.path.isdir(_OWN_DIRS[0]):
         _OWN_DIRS[:] = [tempfile.mkdtemp(prefix="ledgerloom-")]
         atexit.register(shutil.rmtree, _OWN_DIRS[0], ignore_errors=True)
