@@ -57,7 +57,7 @@ _SHARED = f"""{_RECORDS},
  w AS (SELECT source_table, record_id, i - 1 AS pos, md5_number(substr(t, i::BIGINT, {LEAST})) AS h FROM r, unnest(range(1, length(t) - {LEAST - 2})) AS u(i) WHERE length(t) >= {LEAST}),
  g AS (SELECT h FROM w GROUP BY h HAVING min(source_table || '/' || record_id) <> max(source_table || '/' || record_id)),
  s AS (SELECT DISTINCT source_table, record_id, pos FROM w SEMI JOIN g USING (h)),
- k AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY source_table, record_id ORDER BY pos) <= {LEAST} THEN 0 ELSE 1 END AS new FROM s),
+ k AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY source_table, record_id ORDER BY pos) <= 1 THEN 0 ELSE 1 END AS new FROM s),
  f AS (SELECT *, sum(new) OVER (PARTITION BY source_table, record_id ORDER BY pos) AS run FROM k),
  spans AS (SELECT source_table, record_id, min(pos) AS span_start, max(pos) + {LEAST} AS span_end FROM f GROUP BY source_table, record_id, run)"""
 
@@ -82,7 +82,7 @@ ORACLE = {
     "p4_found": _P4,
     "p6_found": f"WITH {_SHARED} SELECT DISTINCT source_table, record_id FROM s",
     "p6_spans": f"WITH {_SHARED} SELECT * FROM spans",
-    "p6_report": f"""WITH {_SHARED}, c AS (SELECT source_table, record_id, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1, 2), l AS (SELECT source_table, record_id, coalesce(max(length(t)), 0) AS chars FROM r GROUP BY 1, 2)
+    "p6_report": f"""WITH {_SHARED}, e AS (SELECT *, coalesce(max(span_end) OVER (PARTITION BY source_table, record_id ORDER BY span_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM spans), c AS (SELECT source_table, record_id, sum(greatest(0, span_end - greatest(span_start, before)))::BIGINT AS shared_chars FROM e GROUP BY 1, 2), l AS (SELECT source_table, record_id, coalesce(max(length(t)), 0) AS chars FROM r GROUP BY 1, 2)
       SELECT source_table, record_id, chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN chars > 0 THEN least(1.0, coalesce(shared_chars, 0) / chars) ELSE 0.0 END AS shared FROM l LEFT JOIN c USING (source_table, record_id)""",
     "p10_stats": f"WITH {_STATS} SELECT doc_id, language, words, " + ", ".join(f"round({s}, 6) AS {s}" for s in STATISTICS if s != "words") + " FROM st",
     "p10_found": f"""WITH {_STATS}, q AS (SELECT language, {', '.join(f'quantile_disc({s}, 0.5) AS {s}_m, (quantile_disc({s}, 0.75) - quantile_disc({s}, 0.5)) / 0.6745 AS {s}_s' for s in ('common_share', 'variety'))} FROM st WHERE words > 0 GROUP BY 1)

@@ -1,23 +1,25 @@
-"""Long exact spans shared between records: relative Lempel-Ziv factors found through a hashed reference index.
-
-Every record is parsed against all others as the reference. The reference is indexed in blocks by content: in each window of
-LEAST characters the k-gram with the smallest hash is the window's anchor, and equal windows have equal anchors. The first pass
-finds the anchors that at least two records have. The next parse each record from left to right: where a window's
-anchor is in no other record it is literal text and skipped; the rest are looked up, by a hash of the whole window,
-in the reference block of that hash. A factor is a longest run of windows that all stand in another record, so
-it begins and ends exactly where the match does, and what is shorter than a window never becomes one. Every window is looked up, so no
-span is lost where a greedy factor against one reference would have cut it.
-
-To tell only which records share, one window in STRIDE, chosen by its hash, is looked up first: longer factors show
-there. For the records still open, the windows they may share, and those alone, are looked up in full, in all records: these
-are the ends of factors and the short ones.
-
-Nothing is compared pair by pair. A passage that a third of all records share leaves each batch as one row per window.
+"""Long exact spans shared between records, by relative Lempel-Ziv parsing.
+
+Every record is factored against all others. The reference, the whole collection, is indexed by its windows of LEAST characters, and the index is cut
+into blocks by the window's hash: an entry is a window and where it stands, whatever number of records hold it. A record is parsed from left to right against every block
+that can answer: in each window the k-gram with the smallest hash is its anchor, equal windows have equal anchors, and where an anchor stands in one record only the
+text is literal and skipped. A window found in a block gives the factor's source, a place in another record, and the factor goes on as long
+as the windows that follow have the same source at the same distance. Factors are checked at their boundaries: every window that reaches
+over the end of a factor has been looked up itself, so a match is never lost because a factor began or ended inside it. At last each
+factor is compared with its source character by character. Hashes of 128 bits only choose what is compared; should a comparison fail, the parse is made
+again with other hashes.
+
+To tell only which records share, the index is sampled: one window in STRIDE, chosen by its hash, is looked up first; longer factors show
+there. For the records still open, the windows they may share, and those alone, are looked up in full, in all records.
+
+Nothing is compared pair by pair. Of a passage that many records hold each batch of rows sends one or two entries a window to the index and answers its own rows
+itself, so a passage in a third of all records makes as many rows under one key as there are batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +28,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bagminhash import mix
+from ledgerloom.operators.skew import salted_join
 from ledgerloom.session import cut
 
 LEAST = 200  # characters (code points) of a span
 GRAM = 150  # characters of an anchor
 STRIDE = 16  # one window in so many is looked up first
 CHUNK = 1 << 20  # characters hashed at a time; a longer text makes its own chunk
-FILTER_LOG2 = 27  # bits of the filter of shared anchors: always 16 MB, whatever the data; it only saves work, false hits are harmless
-_BASE = 0x9E3779B97F4A7C15 | 1
+FILTER_LOG2 = 27  # bits of a filter: always 16 MB, whatever the data; it only saves work, false hits are harmless
 
 
 class _Hasher:
-    """Hashes of all windows of texts laid end to end. The hash of a span is the same wherever it stands."""
+    """Hashes of all windows of texts laid end to end. The hash of a span is the same wherever it stands. Another seed gives other hashes."""
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int = 0) -> None:
+        self.base = (0x9E3779B97F4A7C15 * (2 * seed + 1) % 2**64) | 1
         self.pow = self.inv = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.pow) < n:
             size = max(n, CHUNK + LEAST)
-            self.pow, self.inv = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+            self.pow, self.inv = np.full(size, self.base, np.uint64), np.full(size, pow(self.base, -1, 2**64), np.uint64)
             self.pow[0] = self.inv[0] = 1
             self.pow, self.inv = np.multiply.accumulate(self.pow), np.multiply.accumulate(self.inv)
 
@@ -97,27 +100,34 @@ def _windows(rb: pa.RecordBatch, hasher: _Hasher, least: int, gram: int) -> Iter
         yield start, first + owner[start], start - begin[start], anchor[start], h
 
 
-def _anchor_rows(texts: DataFrame, least: int, gram: int, open_records=None, shared=None) -> DataFrame:
-    """anchor, rec (32 bits of it) of each run of windows with one anchor; of open records and shared anchors only, if filters are given."""
+def _anchor_rows(texts: DataFrame, least: int, gram: int, seed: int, open_records=None, shared=None) -> DataFrame:
+    """anchor, lo, hi: the anchors of each batch with the smallest and the largest record they stand in; of open records and shared anchors only, if filters
+    are given."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher = _Hasher(seed)
         for rb in batches:
             if open_records is not None:
                 rb = rb.filter(pa.array(_hit(open_records.value, rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
             rec = rb.column(0).to_numpy(zero_copy_only=False)
             for _, row, _, anchor, _ in _windows(rb, hasher, least, gram):
-                if len(anchor):
-                    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
-                    if shared is not None:
-                        new &= _hit(shared.value, anchor)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array((rec[row[new]] >> 32).astype(np.int32))], names=["anchor", "rec"])
+                if not len(anchor):
+                    continue
+                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
+                if shared is not None:
+                    new &= _hit(shared.value, anchor)
+                a, r = anchor[new], rec[row[new]]
+                o = np.argsort(a)
+                a, r = a[o], r[o]
+                first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], np.int64)
+                lo, hi = (np.minimum.reduceat(r, first), np.maximum.reduceat(r, first)) if len(a) else (r, r)
+                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(lo), pa.array(hi)], names=["anchor", "lo", "hi"])
 
-    return texts.mapInArrow(anchors, "anchor bigint, rec int")
+    return texts.mapInArrow(anchors, "anchor bigint, lo bigint, hi bigint")
 
 
-def _shared_anchors(texts: DataFrame, least: int, gram: int) -> DataFrame:
-    return _anchor_rows(texts, least, gram).groupBy("anchor").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b").select("anchor")
+def _shared_anchors(texts: DataFrame, least: int, gram: int, seed: int) -> DataFrame:
+    return _anchor_rows(texts, least, gram, seed).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("anchor")
 
 
 def _hit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -139,135 +149,218 @@ def _filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(out)
 
 
+def _only(texts: DataFrame, wanted) -> DataFrame:
+    """The rows of texts whose rec is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield rb.filter(pa.array(_hit(wanted.value, rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 _ALL, _FIRST, _REST = range(3)
+_ROWS = "h bigint, g bigint, rec bigint, a int, b int, ref bigint, shift int"
+
+
+def _sources(first: np.ndarray, size: np.ndarray, r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by window, record and place: whether another record has the window too, and that record and its place. The first
+    row is the source of the rows of other records, the last one of the first record's."""
+    last = first + size - 1
+    several = np.repeat(r[first] != r[last], size)
+    own = r == np.repeat(r[first], size)
+    source = np.where(own, np.repeat(last, size), np.repeat(first, size))
+    return several, r[source], p[source]
 
 
-def _candidates(texts: DataFrame, anchors, least: int, gram: int, which: int) -> DataFrame:
-    """h, rec, pos, known: the windows to look up whose anchor is in the filter `anchors`. _ALL: every one. _FIRST: one in STRIDE, and one row (h null) for
-    each record that has any. _REST: the others. But for _ALL, each batch gives one row a window only, and for records
-    whose window another record of the batch has, one that says so (known)."""
+def _parsed(texts: DataFrame, anchors, least: int, gram: int, seed: int, which: int) -> DataFrame:
+    """Rows for the index, and factors that a batch finds by itself.
+
+    Index rows: h, g (two hashes), rec, a (the window's place). Factors: rec, a, b (first and last window), ref, shift (the source, and its place less a).
+    The windows looked at are those whose anchor is in the filter `anchors`. _ALL: every one. _FIRST: one in STRIDE, and for each record
+    that has any a row with all else null. _REST: the others. But for _ALL, a batch gives one index row a window and one factor a record."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = _Hasher(), anchors.value
+        hasher, bits = _Hasher(seed), anchors.value
         for rb in batches:
             rec = rb.column(0).to_numpy(zero_copy_only=False)
-            hs, rs, ps, some = [], [], [], []
-            for start, row, pos, anchor, h in _windows(rb, hasher, least, gram):
+            hs, gs, rs, ps, some = [], [], [], [], []
+            for start, row, pos, anchor, w in _windows(rb, hasher, least, gram):
                 keep = np.flatnonzero(_hit(bits, anchor))
                 if len(keep):
                     if which == _FIRST:
                         some.append(np.unique(rec[row[keep]]))
-                    x = h.spans(least, start[keep])
+                    x = w.spans(least, start[keep])
                     if which != _ALL:
                         chosen = (x % np.uint64(STRIDE) == 0) == (which == _FIRST)
                         x, keep = x[chosen], keep[chosen]
                     hs.append(x.view(np.int64))
+                    gs.append(w.spans(least // 2, start[keep]).view(np.int64))
                     rs.append(rec[row[keep]])
                     ps.append(pos[keep])
             if not hs:
                 continue
-            h, r, p = np.concatenate(hs), np.concatenate(rs), np.concatenate(ps)
-            known, missing = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            if which != _ALL:
-                o = np.lexsort((r, h))
-                h, r = h[o], r[o]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.array([], np.int64)
-                size = np.diff(np.r_[first, len(h)])
-                several = np.repeat(r[first] != r[first + size - 1], size) if len(h) else np.array([], bool)
-                sure = np.unique(r[several])
-                any_ = np.unique(np.concatenate(some)) if some else sure[:0]
-                h = np.r_[h[first], np.zeros(len(sure) + len(any_), np.int64)]
-                r = np.r_[r[first], sure, any_]
-                p = np.zeros(len(h), np.int64)
-                known = np.r_[np.zeros(len(first), bool), np.ones(len(sure), bool), np.zeros(len(any_), bool)]
-                missing = np.r_[np.zeros(len(first), bool), np.ones(len(sure) + len(any_), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(h, mask=missing), pa.array(r), pa.array(p.astype(np.int32)), pa.array(known)], names=["h", "rec", "pos", "known"])
-
-    return texts.mapInArrow(probe, "h bigint, rec bigint, pos int, known boolean")
-
-
-def _look_up(rows: DataFrame, places: bool) -> DataFrame:
-    """rec (and pos) of the windows that another record has too. Each task holds one block of the index, sorted by hash; of a group that
-    runs over several batches only its first record is kept, and its rows are let go as soon as a second record is seen."""
+            h, g, r, p = (np.concatenate(x) for x in (hs, gs, rs, ps))
+            o = np.lexsort((p, r, g, h))
+            h, g, r, p = h[o], g[o], r[o], p[o]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.array([], np.int64)
+            size = np.diff(np.r_[first, len(h)])
+            several, ref, at = _sources(first, size, r, p) if len(h) else (np.array([], bool), r, p)
+            if which == _ALL:
+                ends = np.zeros(len(h), bool)
+                ends[first] = ends[first + size - 1] = True
+                ask = np.flatnonzero(~several | ends)
+            else:
+                ask = first
+            k = np.flatnonzero(several)
+            fr, fp, fs, fd = r[k], p[k], ref[k], at[k] - p[k]
+            if which == _ALL:
+                o = np.lexsort((fp, fd, fs, fr))
+                fr, fp, fs, fd = fr[o], fp[o], fs[o], fd[o]
+                new = np.r_[True, (fr[1:] != fr[:-1]) | (fs[1:] != fs[:-1]) | (fd[1:] != fd[:-1]) | (fp[1:] != fp[:-1] + 1)] if len(fr) else np.array([], bool)
+                k = np.flatnonzero(new)
+                until = fp[np.r_[k[1:], len(fp)] - 1] if len(fp) else fp
+            else:
+                _, k = np.unique(fr, return_index=True)
+                until = fp[k]
+            fr, fp, fs, fd = fr[k], fp[k], fs[k], fd[k]
+            any_ = np.unique(np.concatenate(some)) if some else r[:0]
+            n, m, z = len(ask), len(fr), len(any_)
+            zero = lambda c: np.zeros(c, np.int64)
+            col = lambda x, mask, kind: pa.array(x.astype(kind), mask=mask)
+            index = np.r_[zero(n), np.ones(m + z, bool)].astype(bool)
+            factor = np.r_[np.ones(n, bool), zero(m), np.ones(z, bool)].astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    col(np.r_[h[ask], zero(m + z)], index, np.int64),
+                    col(np.r_[g[ask], zero(m + z)], index, np.int64),
+                    pa.array(np.r_[r[ask], fr, any_]),
+                    pa.array(np.r_[p[ask], fp, zero(z)].astype(np.int32)),
+                    pa.array(np.r_[p[ask], until, zero(z)].astype(np.int32)),
+                    col(np.r_[zero(n), fs, zero(z)], factor, np.int64),
+                    col(np.r_[zero(n), fd, zero(z)], factor, np.int32),
+                ],
+                names=[x.split(" ")[0] for x in _ROWS.split(", ")],
+            )
+
+    return texts.mapInArrow(probe, _ROWS)
+
+
+def _look_up(rows: DataFrame, every: bool) -> DataFrame:
+    """rec, a, b, ref, shift of the index rows whose window another record has too; every: for each row, else at least for one of each record. A task holds
+    one block of the index, sorted; of a window that runs over several batches only its first row is kept, and those not yet answered."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h, last_r, several, held = None, None, False, []
-
-        def out(r: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(r), pa.array(p.astype(np.int32))], names=["rec", "pos"]) if places else pa.RecordBatch.from_arrays([pa.array(np.unique(r))], names=["rec"])
-
+        kept = None
         for rb in batches:
-            h, r, p = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, g, r, p = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(h):
                 continue
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            told = np.zeros(len(h), bool)
+            if kept is not None:
+                h, g, r, p, told = (np.concatenate(x) for x in zip(kept, (h, g, r, p, told)))
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             size = np.diff(np.r_[first, len(h)])
-            many = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
-            if h[0] == last_h:  # the first group goes on from the batch before
-                if several or many[0] or r[0] != last_r:
-                    many[0] = True
-                    for x in held:
-                        yield out(*x)
-                    held = []
-            else:
-                held = []
-            mask = np.repeat(many, size)
-            if mask.any():
-                yield out(r[mask], p[mask])
-            tail = slice(first[-1], len(h))
-            if many[-1]:
-                held = []
-            elif len(first) == 1 and h[0] == last_h:  # still one record only
-                held.append((r[tail], p[tail]) if places else (r[tail][:1], p[tail][:1]))
-            else:
-                held = [(r[tail], p[tail])] if places else [(r[tail][:1], p[tail][:1])]
-            last_h, last_r, several = h[-1], r[-1], bool(many[-1])
+            several, ref, at = _sources(first, size, r, p)
+            k = np.flatnonzero(several & ~told)
+            yield pa.RecordBatch.from_arrays([pa.array(r[k]), pa.array(p[k]), pa.array(p[k]), pa.array(ref[k]), pa.array((at[k] - p[k]).astype(np.int32))], names=["rec", "a", "b", "ref", "shift"])
+            done = bool(several[-1])
+            tail = slice(first[-1], len(h) if every and not done else first[-1] + 1)
+            kept = (h[tail], g[tail], r[tail], p[tail], np.full(len(h[tail]), done))
+
+    return rows.select("h", "g", "rec", "a").repartition("h").sortWithinPartitions("h", "g", "rec", "a").mapInArrow(block, "rec bigint, a int, b int, ref bigint, shift int")
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(block, "rec bigint, pos int" if places else "rec bigint")
+
+def _checked(factors: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """factors with `same`: whether the record and its source agree in every character. Where rows of one record differ in text, one of them has to. A record that is the
+    source of very many is salted."""
+    factors = cut(factors, "factors")
+    needed = cut(_only(texts, _filter(factors.select("rec").union(factors.select("ref")).distinct())).distinct(), "needed")
+    part = lambda text, at: F.substring(F.col(text), F.col(at) + 1, F.col("b") - F.col("a") + least)
+    with_source = salted_join(factors, needed.select(F.col("rec").alias("ref"), F.col("text").alias("source")), "ref").withColumn("at", F.col("a") + F.col("shift")).withColumn("want", part("source", "at"))
+    both = with_source.drop("source", "at").join(needed, "rec").withColumn("same", part("text", "a") == F.col("want"))
+    return cut(both.groupBy("rec", "a", "b", "ref", "shift").agg(F.max("same").alias("same")), "checked")
 
 
 def _numbered(records: DataFrame) -> DataFrame:
     return records.select("source_table", F.col("record_id").cast("string").alias("record_id"), F.col("text").cast("string").alias("text")).withColumn("rec", F.xxhash64("source_table", "record_id"))
 
 
+_FACTOR = ("rec", "a", "b", "ref", "shift")
+
+
+def _one_factor_each(texts: DataFrame, least: int, gram: int, seed: int) -> DataFrame:
+    """A factor of each record that has any."""
+    shared = _filter(_shared_anchors(texts, least, gram, seed))
+
+    def found(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = cut(rows, name)
+        hit = _look_up(rows.where("h is not null"), False).union(rows.where("ref is not null").select(*_FACTOR))
+        one = hit.groupBy("rec").agg(F.min(F.struct("ref", "a", "b", "shift")).alias("x")).select("rec", "x.a", "x.b", "x.ref", "x.shift")
+        return cut(one, f"{name}-found"), rows.where("h is null and ref is null").select("rec").distinct()
+
+    sure, some = found(_parsed(texts, shared, least, gram, seed, _FIRST), "first")
+    still = _filter(some.join(sure, "rec", "left_anti"))
+    open_anchors = _filter(_anchor_rows(texts, least, gram, seed, still, shared).select("anchor").distinct())
+    more, _ = found(_parsed(texts, open_anchors, least, gram, seed, _REST), "rest")
+    return sure.unionByName(more.join(sure, "rec", "left_anti"))
+
+
+def _all_factors(texts: DataFrame, least: int, gram: int, seed: int) -> DataFrame:
+    """The factors of each record: the longest runs of windows with one source at one distance."""
+    rows = cut(_parsed(texts, _filter(_shared_anchors(texts, least, gram, seed)), least, gram, seed, _ALL), "parsed")
+    found = _look_up(rows.where("h is not null"), True).union(rows.where("ref is not null").select(*_FACTOR)).distinct()
+    w = W.partitionBy("rec", "ref", "shift").orderBy("a", "b")  # places of one record
+    reach = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
+    runs = found.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    return runs.groupBy("rec", "ref", "shift", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select(*_FACTOR)
+
+
+def _verified(records: DataFrame, parse, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Factors that agree with their sources in every character, and the numbered records. A parse in which any didn't, because of equal hashes of
+    different windows, is made again with other hashes."""
+    rows = _numbered(records).where(F.length("text") >= least).where("record_id is not null")
+    texts = rows.select("rec", "text")
+    for seed in count():
+        checked = _checked(parse(texts, least, gram, seed), texts, least)
+        if not checked.where("not same").limit(1).count():
+            return checked, rows.select("source_table", "record_id", "rec").distinct()
+
+
 def sharing_records(records: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """source_table, record_id of the records that hold a span of at least `least` code points that stands in another record too.
 
     records: source_table, record_id, text. Rows with the same table and id are one record, however often they occur: a span
     repeated inside one record alone isn't shared. Null and shorter texts share nothing; null ids are left out."""
-    rows = _numbered(records).where(F.length("text") >= least).where("record_id is not null")
-    texts = rows.select("rec", "text")
-    shared = _filter(_shared_anchors(texts, least, gram))
+    factors, ids = _verified(records, _one_factor_each, least, gram)
+    return ids.join(factors.select("rec").distinct(), "rec", "left_semi").select("source_table", "record_id")
 
-    def found(windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        windows = cut(windows, name)
-        hit = _look_up(windows.where("h is not null"), False).union(windows.where("known").select("rec"))
-        return cut(hit.distinct(), f"{name}-found"), windows.where("h is null and not known").select("rec").distinct()
 
-    sure, some = found(_candidates(texts, shared, least, gram, _FIRST), "first")
-    still = _filter(some.join(sure, "rec", "left_anti"))
-    open_anchors = _filter(_anchor_rows(texts, least, gram, still, shared).select("anchor").distinct())
-    more, _ = found(_candidates(texts, open_anchors, least, gram, _REST), "rest")
-    ids = rows.select("source_table", "record_id", "rec").distinct()
-    return ids.join(sure.union(more).distinct(), "rec", "left_semi").select("source_table", "record_id")
+def shared_factors(records: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """source_table, record_id, factor_start, factor_end, from_table, from_id, from_start: the factors of each record and where each was found in another. What
+    else a passage stands in isn't listed; which of several records is given as the source may differ from run to run."""
+    factors, ids = _verified(records, _all_factors, least, gram)
+    named = salted_join(factors, ids.select(F.col("rec").alias("ref"), F.col("source_table").alias("from_table"), F.col("record_id").alias("from_id")), "ref").join(ids, "rec")
+    return named.select("source_table", "record_id", F.col("a").cast("bigint").alias("factor_start"), (F.col("b") + least).cast("bigint").alias("factor_end"), "from_table", "from_id", (F.col("a") + F.col("shift")).cast("bigint").alias("from_start"))
 
 
 def shared_spans(records: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """source_table, record_id, span_start, span_end (code points, end exclusive): the longest factors of each record; factors that overlap
-    or touch are one. Where rows of one record differ in text, each text's factors are given."""
-    rows = _numbered(records).where(F.length("text") >= least).where("record_id is not null")
-    texts = rows.select("rec", "text")
-    found = _look_up(_candidates(texts, _filter(_shared_anchors(texts, least, gram)), least, gram, _ALL), True).distinct()
-    w = W.partitionBy("rec").orderBy("pos")  # a record's own windows
-    runs = found.withColumn("new", F.when(F.col("pos") - F.lag("pos").over(w) <= least, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    spans = runs.groupBy("rec", "run").agg(F.min("pos").cast("bigint").alias("span_start"), (F.max("pos") + least).cast("bigint").alias("span_end"))
-    ids = rows.select("source_table", "record_id", "rec").distinct()
+    """source_table, record_id, span_start, span_end (code points, end exclusive): the longest stretches of each record in which every
+    `least` code points in a row stand in another record. Factors that overlap by less have spans of their own. Where rows of one record
+    differ in text, the spans are those of all its texts together."""
+    factors, ids = _verified(records, _all_factors, least, gram)
+    w = W.partitionBy("rec").orderBy("a", "b")  # a record's own factors
+    reach = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
+    runs = factors.select("rec", "a", "b").distinct().withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    spans = runs.groupBy("rec", "run").agg(F.min("a").cast("bigint").alias("span_start"), (F.max("b") + least).cast("bigint").alias("span_end"))
     return spans.join(ids, "rec").select("source_table", "record_id", "span_start", "span_end")
 
 
 def sharing_report(records: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """One row per record: characters, characters in shared spans, and their share; empty and null texts have 0 characters and share 0."""
+    """One row per record: characters, characters in shared spans, each counted once, and their share; empty and null texts have 0 characters and share 0."""
     lengths = _numbered(records).where("record_id is not null").groupBy("source_table", "record_id").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).cast("bigint").alias("chars"))
-    covered = shared_spans(records, least, gram).groupBy("source_table", "record_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
+    w = W.partitionBy("source_table", "record_id").orderBy("span_start", "span_end").rowsBetween(W.unboundedPreceding, -1)
+    spans = shared_spans(records, least, gram).withColumn("before", F.coalesce(F.max("span_end").over(w), F.lit(0)))
+    covered = spans.groupBy("source_table", "record_id").agg(F.sum(F.greatest(F.lit(0), F.col("span_end") - F.greatest("span_start", "before"))).alias("shared_chars"))
     out = lengths.join(covered, ["source_table", "record_id"], "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
     return out.withColumn("shared", F.when(F.col("chars") > 0, F.least(F.lit(1.0), F.col("shared_chars") / F.col("chars"))).otherwise(0.0))

@@ -11,16 +11,13 @@ def brute(rows, least):
             own[t[i : i + least]].add((s, r))
     out = set()
     for s, r, t in rows:
-        at = [i for i in range(len(t or "") - least + 1) if len(own[t[i : i + least]]) > 1]
-        for i in at:
-            if i and i - 1 in set(at) and False:
-                continue
         spans = []
-        for i in at:
-            if spans and i <= spans[-1][1]:
-                spans[-1][1] = i + least
-            else:
-                spans.append([i, i + least])
+        for i in range(len(t or "") - least + 1):
+            if len(own[t[i : i + least]]) > 1:
+                if spans and i + least == spans[-1][1] + 1:
+                    spans[-1][1] += 1
+                else:
+                    spans.append([i, i + least])
         out |= {(s, r, a, b) for a, b in spans}
     return out
 
@@ -50,7 +47,7 @@ def test_against_brute_force(spark):
     report = {(r.source_table, r.record_id): r for r in sp.sharing_report(df, least, 30).collect()}
     assert len(report) == len({x[:2] for x in rows})
     for s, k, t in rows:
-        covered = sum(b - a for x, y, a, b in want if (x, y) == (s, k))
+        covered = len({i for x, y, a, b in want if (x, y) == (s, k) for i in range(a, b)})
         assert report[s, k].chars == len(t or "") and report[s, k].shared_chars == covered
 
 
@@ -65,6 +62,43 @@ def test_hot_passage_and_empty(spark):
     assert sp.sharing_records(none).count() == sp.shared_spans(none).count() == sp.sharing_report(none).count() == 0
 
 
+def test_factors_agree_with_their_sources(spark):
+    least = 50
+    rows = sample(least)
+    texts = {x[:2]: x[2] for x in rows}
+    df = spark.createDataFrame(rows, "source_table string, record_id string, text string")
+    got = sp.shared_factors(df, least, 30).collect()
+    for f in got:
+        a, b = texts[f.source_table, f.record_id], texts[f.from_table, f.from_id]
+        assert (f.source_table, f.record_id) != (f.from_table, f.from_id) and f.factor_end - f.factor_start >= least
+        assert a[f.factor_start : f.factor_end] == b[f.from_start : f.from_start + f.factor_end - f.factor_start]
+    assert {(f.source_table, f.record_id) for f in got} == {x[:2] for x in brute(rows, least)}
+
+
+def test_equal_hashes_of_different_windows(spark, monkeypatch):
+    """With hashes that say nothing the first parse is refused, and the next gives the right records."""
+    spans = sp._Hasher.spans
+    monkeypatch.setattr(sp._Hasher, "spans", lambda self, n, at=None: spans(self, n, at) if self.base != sp._Hasher(0).base or at is None else spans(self, n, at) * 0)
+    rows = [("x", str(k), t) for k, t in enumerate(["ab" * 200 + "c", "ab" * 150 + "d", "d" + "ab" * 120, "xyz" * 90])]
+    passed = []
+    checked = sp._checked
+    monkeypatch.setattr(sp, "_checked", lambda *a: passed.append(1) or checked(*a))
+    got = {r.record_id for r in sp.sharing_records(spark.createDataFrame(rows, "source_table string, record_id string, text string")).collect()}
+    assert got == {"0", "1", "2"} and passed
+
+
+def test_a_hot_passage_sends_few_rows_under_one_key(spark):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(400)
+    rows = [(i, (passage if i % 2 else text(40)) + text(300)) for i in range(4000)]
+    texts = spark.createDataFrame(rows, "rec bigint, text string").repartition(4).cache()
+    anchors = sp._filter(sp._shared_anchors(texts, sp.LEAST, sp.GRAM, 0))
+    for which, most in ((sp._ALL, 2), (sp._FIRST, 1), (sp._REST, 1)):
+        keys = sp._parsed(texts, anchors, sp.LEAST, sp.GRAM, 0, which).where("h is not null").groupBy("h").count().agg({"count": "max"}).first()[0]
+        assert keys <= 4 * most
+
+
 def test_found(spark, sf):
     from ledgerloom.llm.queries import _passages, p6_found
 
