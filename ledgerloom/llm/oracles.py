@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ledgerloom.llm.canonical import LOOK_ALIKE
 from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE
-from ledgerloom.llm.quality import _BREAK, _END, _SPACE, COMMON_SHARE, STATISTICS, TAIL_Z
 from ledgerloom.llm.spans import LEAST
 
 
@@ -62,20 +61,23 @@ _SHARED = f"""{_RECORDS},
  spans AS (SELECT source_table, record_id, min(pos) AS span_start, max(pos) + {LEAST} AS span_end FROM f GROUP BY source_table, record_id, run)"""
 
 # ------------------------------------------------------------ p10
-_JSPACE, _JBREAK, _JEND = (x.replace("'", "''") for x in (_SPACE, _BREAK, _END))
-_STATS = f"""
- a AS (SELECT doc_id, coalesce(text, '') AS text, lower(regexp_extract(coalesce(lang, ''), '^\\s*([A-Za-z]+)', 1)) AS code FROM documents),
- b AS (SELECT doc_id, text, CASE WHEN 2 * length(regexp_replace(text, '[^\\p{{Devanagari}}]', '', 'g')) > length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]', '', 'g')) THEN 'hi' WHEN code IN ('', 'und', 'hi') THEN 'en' ELSE code END AS language,
-   list_transform(string_split_regex(lower(regexp_replace(text, '^{_JSPACE}|{_JSPACE}$', '', 'g')), '{_JSPACE}'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+$', '', 'g')) AS plain,
-   regexp_replace(text, '{_JSPACE}', '', 'g') AS solid,
-   list_filter(list_transform(string_split_regex(text, '{_JBREAK}'), lambda x: regexp_replace(x, '^{_JSPACE}|{_JSPACE}$', '', 'g')), lambda x: x <> '') AS lines FROM a),
- d AS (SELECT language, count(*) AS docs FROM b WHERE solid <> '' GROUP BY 1),
- common AS (SELECT language, list(word) AS ws FROM (SELECT language, word, count(*) AS df FROM (SELECT DISTINCT doc_id, language, unnest(plain) AS word FROM b WHERE solid <> '') WHERE word <> '' GROUP BY 1, 2) JOIN d USING (language) WHERE df >= {COMMON_SHARE} * docs GROUP BY 1),
+_WS = r"[\t-\r \x{1c}-\x{1f}\x{85}\p{Z}]+"
+_STATS = rf"""
+ a AS (SELECT doc_id, coalesce(text, '') AS text, lower(regexp_extract(coalesce(lang, ''), '^\s*([A-Za-z]+)', 1)) AS code FROM documents),
+ b AS (SELECT doc_id, text, CASE WHEN 2 * length(regexp_replace(text, '[^\p{{Devanagari}}]', '', 'g')) > length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g')) THEN 'hi' WHEN code IN ('', 'und', 'hi') THEN 'en' ELSE code END AS language,
+   list_transform(string_split_regex(lower(regexp_replace(text, '^{_WS}|{_WS}$', '', 'g')), '{_WS}'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+$', '', 'g')) AS plain,
+   regexp_replace(text, '{_WS}', '', 'g') AS solid,
+   list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x{{0b}}\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')), lambda x: x <> '') AS lines FROM a),
+ d AS (SELECT language, count(*) AS docs FROM b WHERE solid <> '' GROUP BY 1 HAVING count(*) >= 20),
+ common AS (SELECT language, list(word) AS ws FROM (SELECT language, word, count(*) AS df FROM (SELECT DISTINCT doc_id, language, unnest(plain) AS word FROM b WHERE solid <> '') WHERE word <> '' GROUP BY 1, 2) JOIN d USING (language) WHERE df >= 0.2 * docs GROUP BY 1),
  st AS (SELECT doc_id, language, CASE WHEN solid <> '' THEN len(plain) ELSE 0 END AS words, CASE WHEN solid <> '' THEN length(solid) / len(plain) END AS mean_word_length,
-   CASE WHEN solid <> '' THEN length(regexp_replace(solid, '[\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')) / length(solid) END AS symbol_share,
-   CASE WHEN solid <> '' THEN len(list_filter(lines, lambda x: regexp_matches(x, '{_JEND}'))) / len(lines) END AS line_end_share,
-   CASE WHEN solid <> '' THEN len(list_filter(plain, lambda x: list_contains(coalesce(ws, []), x))) / len(plain) END AS common_share,
-   CASE WHEN solid <> '' THEN len(list_distinct(plain)) / sqrt(len(plain)) END AS variety FROM b LEFT JOIN common USING (language))"""
+   CASE WHEN solid <> '' THEN length(regexp_replace(solid, '[\p{{L}}\p{{M}}\p{{N}}]', '', 'g')) / length(solid) END AS symbol_share,
+   CASE WHEN solid <> '' THEN len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…।॥]["''”’)\]]*$'))) / len(lines) END AS line_end_share,
+   CASE WHEN solid <> '' AND ws IS NOT NULL THEN len(list_filter(plain, lambda x: list_contains(ws, x))) / len(plain) END AS common_share FROM b LEFT JOIN common USING (language))"""
+_STATISTICS = ("words", "mean_word_length", "symbol_share", "line_end_share", "common_share")
+_QUARTERS = ", ".join(f"quantile_disc({s}, {q}) AS {s}_{n}" for s in _STATISTICS for n, q in (("l", 0.25), ("m", 0.5), ("h", 0.75)))
+_FLOORS = {"words": 1.0, "mean_word_length": 0.05, "symbol_share": 0.002, "line_end_share": 0.02, "common_share": 0.01}
+_Z = ", ".join(f"({s} - {s}_m) / greatest({f}, CASE WHEN {s}_h > {s}_m THEN {s}_h - {s}_m ELSE {s}_m - {s}_l END / 0.6745) AS {s}_z" for s, f in _FLOORS.items())
 
 ORACLE = {
     "p3_found": _P3,
@@ -84,7 +86,8 @@ ORACLE = {
     "p6_spans": f"WITH {_SHARED} SELECT * FROM spans",
     "p6_report": f"""WITH {_SHARED}, e AS (SELECT *, coalesce(max(span_end) OVER (PARTITION BY source_table, record_id ORDER BY span_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM spans), c AS (SELECT source_table, record_id, sum(greatest(0, span_end - greatest(span_start, before)))::BIGINT AS shared_chars FROM e GROUP BY 1, 2), l AS (SELECT source_table, record_id, coalesce(max(length(t)), 0) AS chars FROM r GROUP BY 1, 2)
       SELECT source_table, record_id, chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN chars > 0 THEN least(1.0, coalesce(shared_chars, 0) / chars) ELSE 0.0 END AS shared FROM l LEFT JOIN c USING (source_table, record_id)""",
-    "p10_stats": f"WITH {_STATS} SELECT doc_id, language, words, " + ", ".join(f"round({s}, 6) AS {s}" for s in STATISTICS if s != "words") + " FROM st",
-    "p10_found": f"""WITH {_STATS}, q AS (SELECT language, {', '.join(f'quantile_disc({s}, 0.5) AS {s}_m, (quantile_disc({s}, 0.75) - quantile_disc({s}, 0.5)) / 0.6745 AS {s}_s' for s in ('common_share', 'variety'))} FROM st WHERE words > 0 GROUP BY 1)
-      SELECT DISTINCT doc_id FROM st JOIN q USING (language) WHERE words > 0 AND (common_share - common_share_m < {TAIL_Z} * common_share_s OR variety - variety_m < {TAIL_Z} * variety_s)""",
+    "p10_stats": f"WITH {_STATS} SELECT doc_id, language, words, " + ", ".join(f"round({s}, 6) AS {s}" for s in _STATISTICS if s != "words") + " FROM st",
+    "p10_found": f"""WITH {_STATS}, q AS (SELECT language, {_QUARTERS} FROM st WHERE words > 0 GROUP BY 1 HAVING count(*) >= 20), z AS (SELECT doc_id, {_Z} FROM st JOIN q USING (language) WHERE words > 0)
+      SELECT DISTINCT doc_id FROM z WHERE mean_word_length_z < -6 OR mean_word_length_z > 20 OR symbol_share_z > 8 OR common_share_z < -4
+        OR (words_z < -0.55)::INT + (abs(mean_word_length_z) > 4)::INT + (symbol_share_z > 4.5)::INT + (line_end_share_z < -0.6)::INT + (common_share_z < -3)::INT >= 3""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import oracles
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
-from ledgerloom.llm.mixing import draw, mix_report
+from ledgerloom.llm.mixing import draw, mix_marginals, mix_report
 from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, all_pairs, groups
 from ledgerloom.llm.quality import STATISTICS, scored, statistics
 from ledgerloom.llm.scans import line_faults, repaired_texts
@@ -87,7 +87,12 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_draw(spark: SparkSession, sf: str) -> DataFrame:
     """How often each document of the listed sources is used."""
-    return draw(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[0]
+    return draw(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[0].select("doc_id", "source", "tokens", "uses")
+
+
+def p9_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of sources, languages and topics before and after."""
+    return mix_marginals(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
 
 
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,5 +109,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return scored(statistics(table(spark, sf, "documents"))).where("words > 0 and not prose").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids, p9_report, p9_draw, p10_found, p10_stats, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids, p9_report, p9_draw, p9_marginals, p10_found, p10_stats, p10_scores)}
 ORACLE: dict[str, str] = dict(oracles.ORACLE)

@@ -24,6 +24,22 @@ def test_mix(spark):
     assert mx.mix_report(docs.limit(0), t).count() == 4 and mx.mix_report(docs, t.limit(0)).count() == 0
 
 
+def test_draw_adds_up_and_cells_raked_as_a_table(spark, sf, monkeypatch):
+    docs, t = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "mix_target"))
+    report = {r.source: r for r in mx.mix_report(docs, t).collect()}
+    drawn = mx.draw(docs, t)[0].toPandas()
+    for s, r in report.items():
+        own = drawn[drawn.source == s]
+        assert (own.uses * own.tokens).sum() == r.tokens_drawn and own.tokens.sum() == r.tokens_available and (own.uses.max() if len(own) else 0) == r.repeats_used <= r.max_repeats
+        assert abs(r.share_reached - r.target_share) < 0.02
+    marginals = mx.mix_marginals(docs, t).toPandas()
+    assert (marginals.groupby("marginal").share_reached.sum() - 1).abs().max() < 1e-9
+    monkeypatch.setattr(mx, "MOST_CELLS", 0)
+    monkeypatch.setattr(mx, "TABLE_ROUNDS", 3)
+    for r in mx.mix_report(docs, t).collect():
+        assert abs(r.share_reached - r.target_share) < 0.02 and r.repeats_used <= r.max_repeats
+
+
 def test_quality(spark):
     prose = "The insurer shall pay the claim for the room when the bill is received and the letter of the hospital is in the file, but not before the review of the case has ended. "
     rows = [(i, prose + f"This is case {i} of the year and it is the one for which the money was paid to the person.", ["en", None, "und", "EN-in"][i % 4], "s", None, 0) for i in range(80)]
@@ -33,6 +49,16 @@ def test_quality(spark):
     assert out[103].words == out[104].words == 0 and out[103].common_share is None and not out[104].prose
     assert out[100].words == 6 and out[101].line_end_share == 0 and out[0].language == "en"
     assert ql.scored(ql.statistics(spark.createDataFrame([], DOCS))).count() == 0
+    # a rare language has no common words and no scores
+    few = ql.scored(ql.statistics(spark.createDataFrame([(1, "un deux trois", "fr", "s", None, 0), (2, "== == ==", "fr", "s", None, 0)], DOCS))).collect()
+    assert all(r.prose and r.common_share is None and r.words_z is None and r.tails == [] for r in few)
+
+
+def test_common_words_joined_or_given(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = sorted(map(tuple, ql.statistics(docs).collect()), key=repr)
+    monkeypatch.setattr(ql, "MOST_GIVEN", 0)
+    assert sorted(map(tuple, ql.statistics(docs).collect()), key=repr) == given
 
 
 def test_found_on_labels(spark):
