@@ -22,53 +22,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _levels(bag: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """bag, seed, low, width, weight of each level that an element's weight reaches into."""
-    parts = []
-    level, low, width = 0, 0.0, 1.0
-    keep = np.flatnonzero(weight > 0)
-    while len(keep):
-        seed = mix(element[keep] + np.uint64((level + 1) * int(_G) % 2**64))
-        parts.append((bag[keep], seed, np.full(len(keep), low), np.full(len(keep), width), weight[keep]))
-        low, width, level = low + width, low + width, level + 1
-        keep = keep[weight[keep] > low]
-    if not parts:
-        z = np.array([], np.float64)
-        return np.array([], np.int64), np.array([], np.uint64), z, z, z
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def signatures(bag: np.ndarray, element: np.ndarray, weight: np.ndarray, bags: int, m: int) -> np.ndarray:
-    """Registers (bags x m). bag: number of the bag of each element; element: its 64-bit hash; weight: positive.
-    A bag without elements has infinite registers."""
-    h = np.full(bags * m, np.inf)
-    bag, seed, low, width, w = _levels(bag.astype(np.int64), element, weight.astype(np.float64))
-    whole = low + width <= w  # all of the level lies below the weight
-    all_whole = bool(whole.all())
-    t = np.zeros(len(bag))
-    latest = np.full(bags, np.inf)
-    turn = 0
+def _level(h: np.ndarray, latest: np.ndarray, bag: np.ndarray, seed: np.ndarray, m: int, width: float, place=None) -> None:
+    """Runs the processes of one level to their ends. A point's upper half is its time, its lower half its register; place(live, point) says which points lie below
+    the weight, where not all do."""
+    bags, t, base = len(latest), np.zeros(len(bag)), bag * m
+    own, turn = np.arange(len(bag)), 0
+    low, regs = np.uint64(0xFFFFFFFF), np.uint64(m)
     with np.errstate(over="ignore"):
         while len(bag):
             turn += 1
             seed = seed + _G
             r = mix(seed)
-            t = t - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
-            live = t < latest[bag]
-            if not live.all():
-                bag, seed, low, width, w, whole, t, r = (x[live] for x in (bag, seed, low, width, w, whole, t, r))
-                if not len(bag):
-                    break
-            q = mix(r + _A)
-            at = bag * m + ((q >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            if all_whole:
+            t = t - np.log(((r >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32) / width
+            live = np.flatnonzero(t < latest[bag])
+            if len(live) < len(bag):
+                bag, seed, t, r, base, own = bag[live], seed[live], t[live], r[live], base[live], own[live]
+            at = base + ((r & low) * regs >> np.uint64(32)).astype(np.int64)
+            if place is None:
                 np.minimum.at(h, at, t)
             else:
-                y = low + (q & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width
-                ok = whole | (y < w)
+                ok = place(own, r)
                 np.minimum.at(h, at[ok], t[ok])
-            if turn < 4 or turn % 4 == 0:
-                latest = h.reshape(bags, m).max(axis=1)
+            if turn < 4 or turn % 3 == 0:
+                np.max(h.reshape(bags, m), axis=1, out=latest)
+
+
+def signatures(bag: np.ndarray, element: np.ndarray, weight: np.ndarray, bags: int, m: int) -> np.ndarray:
+    """Registers (bags x m). bag: number of the bag of each element; element: its 64-bit hash; weight: positive.
+    A bag without elements has infinite registers."""
+    h, latest = np.full(bags * m, np.inf), np.full(bags, np.inf)
+    bag, weight = bag.astype(np.int64), weight.astype(np.float64)
+    level, low, width = 0, 0.0, 1.0
+    keep = np.flatnonzero(weight > 0)
+    while len(keep):
+        seed, w = mix(element[keep] + np.uint64((level + 1) * int(_G) % 2**64)), weight[keep]
+        part = w < low + width  # the weight lies inside this level
+        if part.any():
+            share = (w - low) / width
+            within = lambda own, r: ~part[own] | (mix(r + _A).astype(np.float64) * 2.0**-64 < share[own])  # noqa: B023, E731
+            _level(h, latest, bag[keep], seed, m, width, within)
+        else:
+            _level(h, latest, bag[keep], seed, m, width)
+        low, width, level = low + width, low + width, level + 1
+        keep = keep[w > low]
     return h.reshape(bags, m)
 
 

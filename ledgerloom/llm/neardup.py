@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,10 +21,11 @@ from ledgerloom.session import cut
 
 _WORDS = re.compile(r"[a-z0-9]+").findall
 EXPAND = 64  # copies: classes up to this size are expanded into all pairs, larger ones are given as pairs with their representative
-BLOCK = 512  # members of a class are paired in blocks of about so many
-BATCH_ITEMS = 150_000
-COUNTERS = 1 << 16  # buckets are counted in so many counters
-CROWD = 1_000  # a bucket of at most so many classes, beside three times the mean of a counter, is paired within; fuller ones take the exact way
+BLOCK = 512  # members of a group are paired in blocks of about so many
+BATCH_ITEMS = 25_000
+CROWD = 1_000  # buckets of more classes aren't paired within; their classes take the exact way
+COUNTERS = 1 << 16  # in which a task counts its own buckets
+HOT_IN_TASK = 4 * CROWD  # a bucket whose counter is fuller in one task is crowded; its further classes don't leave for the bucket at all
 
 
 @dataclass(frozen=True)
@@ -44,28 +46,34 @@ CLAUSE_TEXT = Likeness(run=3, threshold=0.70, rows=6, bands=48)
 TITLE = Likeness(run=1, threshold=0.75, rows=8, bands=60)
 #: The default for word shingles.
 SHINGLES = Likeness(run=5, threshold=0.80, rows=8, bands=40)
+#: Words as often as they occur, in runs of five.
+WEIGHTED = Likeness(run=5, threshold=0.80, rows=6, bands=36, multiset=True)
+
+
+class _Hashed(dict):
+    """Hashes of words, each made once per worker."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
 class _Bags:
-    """Texts to bags of hashed runs of words. Words are hashed once per worker."""
+    """Texts to bags of hashed runs of words."""
 
     def __init__(self, like: Likeness):
         self.like = like
-        self.words: dict[str, int] = {}
+        self.words = _Hashed()
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """bag, run hash, count; sorted by bag and hash."""
-        known, hashed, sizes = self.words, [], []
-        if len(known) > 1_000_000:
-            known.clear()
+        """bag, run hash, count; sorted by bag and hash. At most 65,536 texts at a time."""
+        if len(self.words) > 1_000_000:
+            self.words.clear()
+        hashed, sizes, known = [], [], self.words.__getitem__
         for t in texts:
-            ws = _WORDS(t.lower()) if t else []
+            ws = _WORDS(t.lower()) if t else ()
             sizes.append(len(ws))
-            for w in ws:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                hashed.append(h)
+            hashed += map(known, ws)
         h, n = np.array(hashed, dtype=np.uint64), np.array(sizes, dtype=np.int64)
         bag, k = np.repeat(np.arange(len(n)), n), self.like.run
         if len(h) < k:
@@ -77,7 +85,8 @@ class _Bags:
             acc = mix(acc)
         inside = bag[: len(h) - k + 1] == bag[k - 1 :]
         b, acc = bag[: len(h) - k + 1][inside], acc[inside]
-        order = np.lexsort((acc, b))
+        order = np.argsort(acc)
+        order = order[np.argsort(b[order].astype(np.uint16), kind="stable")]
         b, acc = b[order], acc[order]
         if not len(b):
             return b, acc, b
@@ -95,152 +104,275 @@ def _bag_keys(bag: np.ndarray, run: np.ndarray, count: np.ndarray, n: int) -> tu
     return key.view(np.int64), total
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[tuple]:
-    bags = _Bags(like)
-    for rb in batches:
-        step = 2_000
-        for at in range(0, rb.num_rows, step):
-            part = rb.slice(at, step)
-            texts = part.column(1).to_pylist()
-            bag, run, count = bags.of(texts)
-            yield part.column(0), bag, run, count, len(texts)
+_SIGNED = "field string, id string, text_hash bigint, cls bigint, bands array<bigint>, full array<bigint>"
 
 
-def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
-    """id, cls, bands: the class of equal bags of each record that has any run, and, once in each task that meets the class, its buckets. Rows
-    without bands and with n count the buckets of a task: cls is the counter."""
+def _signed(docs: DataFrame, likes: dict[str, Likeness]) -> DataFrame:
+    """field, id, text_hash, cls, bands, full: the class of equal bags of each record that has any run, and, once in each task that meets the class, its
+    buckets; full has those that are crowded in this task already."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         counts = np.zeros(COUNTERS, np.int64)
-        for ids, bag, run, count, n in _chunks(batches, like):
-            key, total = _bag_keys(bag, run, count, n)
-            new = np.zeros(n, bool)
-            for i in np.flatnonzero(total):
-                k = int(key[i])
-                if k not in seen:
-                    seen.add(k)
-                    new[i] = True
-            number = np.cumsum(new) - 1
-            keep = new[bag] if len(bag) else np.array([], bool)
-            bag, run, count = number[bag[keep]], run[keep], count[keep]
-            bags = int(new.sum())
-            ends = np.searchsorted(bag, np.arange(bags + 1))
-            hs, a = np.zeros((bags, like.bands), np.int64), 0
-            while a < bags:  # as many bags at a time as have BATCH_ITEMS runs
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + BATCH_ITEMS, side="right")) - 1)
-                s = slice(ends[a], ends[b])
-                hs[a:b] = bands(signatures(bag[s] - a, run[s], count[s], b - a, like.rows * like.bands), like.rows)
-                a = b
-            some, first = total > 0, new[total > 0]
-            offsets = np.r_[0, np.cumsum(np.where(first, like.bands, 0))].astype(np.int32)
-            counts += np.bincount(hs.ravel() % COUNTERS, minlength=COUNTERS)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hs.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(key[some]), lists, pa.nulls(int(some.sum()), pa.int64())], names=["id", "cls", "bands", "n"])
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(counts[at])], names=["id", "cls", "bands", "n"])
-
-    return docs.where("id is not null").mapInArrow(sign, "id string, cls bigint, bands array<bigint>, n bigint")
-
-
-def _crowded(signed: DataFrame) -> DataFrame:
-    """counter: the counters of buckets too full for pairing. There are COUNTERS counters, so what is shuffled and broadcast is bounded; a
-    counter holds at least as many rows as its fullest bucket, so none is missed."""
-    counts = cut(signed.where("n is not null").groupBy(F.col("cls").alias("counter")).agg(F.sum("n").alias("n")), "counters")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") > CROWD + 3 * total // COUNTERS).select("counter")
-
-
-def _exact_candidates(classes: DataFrame, members: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+        bags_of = {f: _Bags(like) for f, like in likes.items()}
+        for whole in batches:
+            for field in pc.unique(whole.column(0)).to_pylist():
+                of_field = whole.filter(pc.equal(whole.column(0), field))
+                like, salt = likes[field], np.uint64(xxhash.xxh3_64_intdigest(field))
+                for start in range(0, of_field.num_rows, 2_000):
+                    rb = of_field.slice(start, 2_000)
+                    n = rb.num_rows
+                    bag, run, count = bags_of[field].of(rb.column(3).to_pylist())
+                    with np.errstate(over="ignore"):
+                        run = mix(run + salt)
+                    key, total = _bag_keys(bag, run, count, n)
+                    new = np.zeros(n, bool)
+                    for i in np.flatnonzero(total):
+                        k = int(key[i])
+                        if k not in seen:
+                            seen.add(k)
+                            new[i] = True
+                    number = np.cumsum(new) - 1
+                    keep = new[bag] if len(bag) else np.array([], bool)
+                    bag, run, count = number[bag[keep]], run[keep], count[keep]
+                    bags = int(new.sum())
+                    ends = np.searchsorted(bag, np.arange(bags + 1))
+                    hs, a = np.zeros((bags, like.bands), np.int64), 0
+                    while a < bags:  # as many bags at a time as have BATCH_ITEMS runs
+                        b = max(a + 1, int(np.searchsorted(ends, ends[a] + BATCH_ITEMS, side="right")) - 1)
+                        s = slice(ends[a], ends[b])
+                        hs[a:b] = bands(signatures(bag[s] - a, run[s], count[s], b - a, like.rows * like.bands), like.rows, int(salt >> np.uint64(40)))
+                        a = b
+                    at = hs.ravel() % COUNTERS
+                    counts += np.bincount(at, minlength=COUNTERS)
+                    hot = (counts[at] > HOT_IN_TASK).reshape(hs.shape)
+                    some = total > 0
+                    first = new[some]
+
+                    def lists(mask: np.ndarray) -> pa.ListArray:
+                        each = np.zeros(len(first), np.int64)
+                        each[first] = mask.sum(axis=1)
+                        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(hs[mask]))  # noqa: B023
+
+                    kept = pa.array(some)
+                    yield pa.RecordBatch.from_arrays([*(rb.column(i).filter(kept) for i in range(3)), pa.array(key[some]), lists(~hot), lists(hot)], names=[x.split(" ")[0] for x in _SIGNED.split(", ")])
+
+    return docs.where("id is not null").select("field", "id", "text_hash", "text").mapInArrow(sign, _SIGNED)
+
+
+def _meet(rows: DataFrame) -> DataFrame:
+    """a, b: the pairs of classes that share a bucket of at most CROWD; a alone: the classes of a crowded one. rows: band, cls; a null cls says that the
+    bucket is crowded. A task reads its buckets sorted and holds at most CROWD + 1 classes of the one that goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_band, held, full = None, np.array([], np.int64), False  # the bucket the last batch ended in
+
+        def out(a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
+
+        def pairs_of(band: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+            d = 1
+            while len(k := np.flatnonzero(band[d:] == band[:-d])) if d < len(band) else False:
+                yield out(cls[k], cls[k + d])
+                d += 1
+
+        for rb in batches:
+            band = rb.column(0).to_numpy(zero_copy_only=False)
+            null = np.asarray(rb.column(1).is_null())
+            cls = rb.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            marked = set(band[null].tolist())
+            band, cls = band[~null], cls[~null]
+            new = np.r_[True, (band[1:] != band[:-1]) | (cls[1:] != cls[:-1])] if len(band) else np.array([], bool)
+            band, cls = band[new], cls[new]
+            if held_band is not None:
+                cut_at = int(np.searchsorted(band, held_band, side="right"))
+                more, band, cls = cls[:cut_at], band[cut_at:], cls[cut_at:]
+                more = more[1:] if len(more) and len(held) and more[0] == held[-1] else more
+                full |= held_band in marked
+                if full:
+                    yield out(more)
+                    held = more[-1:] if len(more) else held
+                else:
+                    held = np.r_[held, more]
+                    if len(held) > CROWD:
+                        full = True
+                        yield out(held)
+                        held = held[-1:]
+                if not len(band):
+                    if marked and max(marked) > held_band:  # a crowded bucket begins with its marks
+                        if not full:
+                            yield from pairs_of(np.full(len(held), held_band), held)
+                        held_band, held, full = max(marked), held[:0], True
+                    continue
+                if not full:
+                    yield from pairs_of(np.full(len(held), held_band), held)
+            elif not len(band):
+                if marked:
+                    held_band, held, full = max(marked), cls, True
+                continue
+            first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            size = np.diff(np.r_[first, len(band)])
+            tail = slice(first[-1], len(band))
+            held_band, held = band[-1], cls[tail]
+            full = len(held) > CROWD or int(held_band) in marked
+            if full:
+                yield out(held)
+                held = held[-1:]
+            crowded = (size > CROWD) | (np.isin(band[first], np.fromiter(marked, np.int64, len(marked))) if marked else False)
+            crowded[-1] = True  # handled above
+            rows_of = np.repeat(crowded, size)
+            rows_of_full = rows_of.copy()
+            rows_of_full[tail] = False
+            if rows_of_full.any():
+                yield out(cls[rows_of_full])
+            yield from pairs_of(band[~rows_of], cls[~rows_of])
+            if marked and max(marked) > held_band:
+                if not full:
+                    yield from pairs_of(np.full(len(held), held_band), held)
+                held_band, held, full = max(marked), held[:0], True
+        if held_band is not None and not full:
+            yield from pairs_of(np.full(len(held), held_band), held)
+
+    return rows.repartition("band").sortWithinPartitions("band", "cls").mapInArrow(run, "a bigint, b bigint")
+
+
+def _one_text(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """field, cls, text: one text of each of the classes."""
+    one = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("field", "id", "text_hash")).alias("x")).select("cls", "x.*")
+    return docs.join(one, ["field", "id", "text_hash"]).select("field", "cls", "text").dropDuplicates(["cls"])
+
+
+def _in_blocks(rows: DataFrame, key: str, item: str, carry: list[str]) -> DataFrame:
+    """Pairs of the rows of each key, x_ and y_ of item and carry, with x_item < y_item. The rows of a key are dealt to blocks of about BLOCK and
+    pairs of blocks are joined, so no task pairs a whole large group."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = cut(salted_join(rows, sizes.select(key, "blocks"), key).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")), "dealt")
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in (item, *carry)]
+    left = dealt.select(key, *named("x"), F.col("block").alias("i"), F.explode(F.filter(other, lambda k: k >= F.col("block"))).alias("j"))
+    right = dealt.select(key, *named("y"), F.col("block").alias("j"), F.explode(F.filter(other, lambda k: k <= F.col("block"))).alias("i"))
+    both = left.join(right, [key, "i", "j"]).where(f"i < j or x_{item} < y_{item}").where(f"x_{item} <> y_{item}")
+    turn = F.col(f"x_{item}") > F.col(f"y_{item}")
+    return both.select(*[F.when(turn, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"x_{c}") for c in (item, *carry)], *[F.when(turn, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"y_{c}") for c in (item, *carry)])
+
+
+def _exact_candidates(classes: DataFrame, members: DataFrame, docs: DataFrame, likes: dict[str, Likeness]) -> DataFrame:
     """a, b: all pairs of the given classes that can be alike, by the prefix filter: two bags of that overlap share one of their rarest
     runs. Nothing is missed, and full buckets don't matter here."""
-    one = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = docs.join(one, "id").dropDuplicates(["id"]).select("cls", "text")
+    texts = _one_text(docs, members, classes)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags = _Bags(like)
+        bags_of = {f: _Bags(like) for f, like in likes.items()}
         for rb in batches:
-            cls = rb.column(0).to_numpy(zero_copy_only=False)
-            bag, run, count = bags.of(rb.column(1).to_pylist())
-            size = np.bincount(bag, weights=count, minlength=len(cls)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[bag]), pa.array(run.view(np.int64)), pa.array(count), pa.array(size[bag])], names=["cls", "run", "count", "size"])
-
-    runs = cut(texts.mapInArrow(explode, "cls bigint, run bigint, count bigint, size bigint"), "runs")
+            for field in pc.unique(rb.column(0)).to_pylist():
+                part = rb.filter(pc.equal(rb.column(0), field))
+                like, salt = likes[field], np.uint64(xxhash.xxh3_64_intdigest(field))
+                cls = part.column(1).to_numpy(zero_copy_only=False)
+                bag, run, count = bags_of[field].of(part.column(2).to_pylist())
+                size = np.bincount(bag, weights=count, minlength=len(cls)).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    run = mix(run + salt)
+                n = len(run)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[bag]), pa.array(run.view(np.int64)), pa.array(count), pa.array(size[bag]), pa.array(np.full(n, like.threshold))], names=["cls", "run", "count", "size", "least"])
+
+    runs = cut(texts.mapInArrow(explode, "cls bigint, run bigint, count bigint, size bigint, least double"), "runs")
     df = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
     w = W.partitionBy("cls").orderBy("df", "run").rowsBetween(W.unboundedPreceding, -1)  # the runs of one text
     before = F.coalesce(F.sum("count").over(w), F.lit(0))
-    prefix = runs.join(df, "run").withColumn("before", before).where(F.col("before") <= F.col("size") - F.ceil(F.col("size") * (like.threshold - 1e-9))).select("cls", "run", "size")
-    prefix = cut(prefix, "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.size") >= F.col("y.size") * like.threshold - 1e-6) & (F.col("y.size") >= F.col("x.size") * like.threshold - 1e-6)
-    return x.join(y, F.col("x.run") == F.col("y.run")).where("x.cls < y.cls").where(near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-
-
-def class_pairs(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity) of the pairs of different classes, a < b, that are alike; and (id, cls) of the records.
-
-    docs: id, text. Null ids are left out; null texts and texts without a run of words have no class. Repeated rows count
-    once. Similarity is exact: the overlap of every candidate's bags is counted from the whole texts."""
-    docs = docs.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    signed = cut(_signed(docs, like), "signed")
-    members = signed.where("n is null").select("id", "cls").distinct()
-    rows = signed.where("size(bands) > 0").select(F.explode("bands").alias("band"), "cls").withColumn("counter", F.pmod("band", F.lit(COUNTERS)))
-    crowded = _crowded(signed)
-    full = crowded.count()
-    loose = rows.join(F.broadcast(crowded), "counter", "left_anti") if full else rows
-    # only buckets with two classes or more go on; one sort finds them
-    w = W.partitionBy("band")
-    shared = loose.select("band", "cls").withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w)).where("low <> high").select("band", "cls")
-    shared = cut(shared.distinct(), "shared")
-    x, y = shared.alias("x"), shared.alias("y")
-    candidates = x.join(y, F.col("x.band") == F.col("y.band")).where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    if full:
-        packed = rows.join(F.broadcast(crowded), "counter", "left_semi").select("cls").distinct()
-        candidates = candidates.union(_exact_candidates(packed, members, docs, like))
+    prefix = salted_join(runs, df, "run").withColumn("before", before).where("before <= size - ceil(size * (least - 1e-9))").select("cls", "run", "size", "least")
+    pairs = _in_blocks(cut(prefix, "prefix"), "run", "cls", ["size", "least"])
+    near = "x_size >= y_size * x_least - 1e-6 and y_size >= x_size * x_least - 1e-6"
+    return pairs.where(near).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+
+
+def _class_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(field, a, b, similarity) of the pairs of different classes, a < b, that are alike; and (field, id, cls) of the records. docs: field, id, text."""
+    docs = docs.select("field", F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = cut(_signed(docs, likes), "signed")
+    members = signed.select("field", "id", "text_hash", "cls").distinct()
+    if exact:
+        candidates = _exact_candidates(signed.select("cls").distinct(), members, docs, likes)
+    else:
+        rows = signed.where("size(bands) > 0").select(F.explode("bands").alias("band"), "cls")
+        marks = signed.where("size(full) > 0").select(F.explode("full").alias("band")).distinct().select("band", F.lit(None).cast("bigint").alias("cls"))
+        met = cut(_meet(rows.unionByName(marks)), "met")
+        candidates = met.where("b is not null")
+        packed = met.where("b is null").select(F.col("a").alias("cls")).union(signed.where("size(full) > 0").select("cls"))
+        if packed.limit(1).count():
+            candidates = candidates.union(_exact_candidates(cut(packed.distinct(), "packed"), members, docs, likes))
     candidates = cut(candidates.distinct(), "candidates")
     # one text of each class that has a candidate
-    wanted = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
-    one = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = docs.join(one, "id").dropDuplicates(["id"]).select("cls", "text")
-    pairs = candidates.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    texts = cut(_one_text(docs, members, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()), "texts")
+    pairs = candidates.join(texts.select("field", F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags = _Bags(like)
+        bags_of = {f: _Bags(like) for f, like in likes.items()}
         for rb in batches:
-            for at in range(0, rb.num_rows, 500):
-                p = rb.slice(at, 500)
-                n = p.num_rows
-                texts, number = np.unique(np.array(p.column(2).to_pylist() + p.column(3).to_pylist(), dtype=object), return_inverse=True)
-                bag, run, count = bags.of(list(texts))
-                ends = np.searchsorted(bag, np.arange(len(texts) + 1))
-                sim = np.zeros(n)
-                for i in range(n):
-                    s, t = (slice(ends[k], ends[k + 1]) for k in (number[i], number[n + i]))
-                    _, u, v = np.intersect1d(run[s], run[t], assume_unique=True, return_indices=True)
-                    both = np.minimum(count[s][u], count[t][v]).sum()
-                    sim[i] = both / (count[s].sum() + count[t].sum() - both)
-                ok = pa.array(sim >= like.threshold - 1e-12)
-                yield pa.RecordBatch.from_arrays([p.column(0).filter(ok), p.column(1).filter(ok), pa.array(sim).filter(ok)], names=["a", "b", "similarity"])
-
-    return cut(pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint, similarity double"), "alike"), members
-
-
-def all_pairs(docs: DataFrame, like: Likeness) -> DataFrame:
-    """id_a, id_b of all alike records, id_a < id_b, whatever the size of their classes: as many rows as there are pairs.
-
-    The members of a class are dealt to blocks of about BLOCK, and pairs of blocks are joined, so no task pairs whole large classes."""
-    alike, members = class_pairs(docs, like)
-    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "sizes")
-    dealt = cut(salted_join(members, sizes, "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "dealt")
-    own = sizes.where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    x, y = sizes.select(F.col("cls").alias("a"), F.col("blocks").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("blocks").alias("nb"))
-    each = alike.select("a", "b").unionByName(own).join(x, "a").join(y, "b").withColumn("ka", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("kb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    each = cut(each.where("a <> b or ka <= kb").select("a", "b", "ka", "kb"), "blocks")
+            for field in pc.unique(rb.column(0)).to_pylist():
+                part, like = rb.filter(pc.equal(rb.column(0), field)), likes[field]
+                for at in range(0, part.num_rows, 500):
+                    p = part.slice(at, 500)
+                    n = p.num_rows
+                    where: dict[str, int] = {}
+                    number = [where.setdefault(t, len(where)) for t in p.column(3).to_pylist() + p.column(4).to_pylist()]
+                    bag, run, count = bags_of[field].of(list(where))
+                    ends = np.searchsorted(bag, np.arange(len(where) + 1))
+                    whole = np.bincount(bag, weights=count, minlength=len(where))
+                    sim = np.zeros(n)
+                    for i in range(n):
+                        x, y = number[i], number[n + i]
+                        s, t = slice(ends[x], ends[x + 1]), slice(ends[y], ends[y + 1])
+                        at_y = np.searchsorted(run[t], run[s])
+                        at_y[at_y == t.stop - t.start] = 0
+                        hit = run[t][at_y] == run[s]
+                        both = np.minimum(count[s][hit], count[t][at_y[hit]]).sum()
+                        sim[i] = both / (whole[x] + whole[y] - both)
+                    ok = pa.array(sim >= like.threshold - 1e-12)
+                    yield pa.RecordBatch.from_arrays([p.column(0).filter(ok), p.column(1).filter(ok), p.column(2).filter(ok), pa.array(sim).filter(ok)], names=["field", "a", "b", "similarity"])
+
+    alike = pairs.select("field", "a", "b", "ta", "tb").mapInArrow(verify, "field string, a bigint, b bigint, similarity double")
+    return cut(alike, "alike"), members.select("field", "id", "cls").distinct()
+
+
+def _single(docs: DataFrame, like: Likeness) -> tuple[DataFrame, dict[str, Likeness]]:
+    return docs.select(F.lit("").alias("field"), "id", "text"), {"": like}
+
+
+def class_pairs(docs: DataFrame, like: Likeness, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) of the pairs of different classes, a < b, that are alike; and (id, cls) of the records.
+
+    docs: id, text. Null ids are left out; null texts and texts without a run of words have no class. Repeated rows count
+    once. Similarity is exact: the overlap of every candidate's bags is counted from the whole texts. exact: candidates come from the prefix filter
+    alone, which misses none."""
+    alike, members = _class_pairs(*_single(docs, like), exact)
+    return alike.drop("field"), members.drop("field")
+
+
+def all_field_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = False) -> DataFrame:
+    """field, id_a, id_b of all alike records of each field, id_a < id_b, whatever the size of their classes: as many rows as there are pairs.
+
+    docs: field, id, text. The members of a class are dealt to blocks of about BLOCK, and pairs of blocks are joined, so no task pairs whole large classes."""
+    alike, members = _class_pairs(docs, likes, exact)
+    sizes = cut(members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only"), F.min("field").alias("field")), "sizes")
+    side = lambda p: sizes.select(F.col("cls").alias(p), F.col("n").alias(f"n{p}"), F.col("only").alias(f"i{p}"))
+    across = cut(alike.select("field", "a", "b").join(side("a"), "a").join(side("b"), "b"), "across")
+    single = across.where("na = 1 and nb = 1").select("field", "ia", "ib")
+    dealt = cut(salted_join(members, sizes.where("n > 1").select("cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "dealt")
+    # one member of a single class is a block of its own
+    large = across.where("na > 1 or nb > 1")
+    ends = large.where("na = 1").select(F.col("a").alias("cls"), F.col("ia").alias("id")).union(large.where("nb = 1").select("b", "ib")).distinct()
+    dealt = dealt.unionByName(ends.withColumn("block", F.lit(0)))
+    pieces = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
+    each = large.select("field", "a", "b", "na", "nb").unionByName(sizes.where("n > 1").select("field", F.col("cls").alias("a"), F.col("cls").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb")))
+    each = each.withColumn("ka", pieces("na")).withColumn("kb", pieces("nb")).where("a <> b or ka <= kb").select("field", "a", "b", "ka", "kb")
     left = each.join(dealt.select(F.col("cls").alias("a"), F.col("block").alias("ka"), F.col("id").alias("ia")), ["a", "ka"])
-    right = each.join(dealt.select(F.col("cls").alias("b"), F.col("block").alias("kb"), F.col("id").alias("ib")), ["b", "kb"])
-    both = left.join(right, ["a", "b", "ka", "kb"]).where("ia <> ib")
-    return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    both = left.join(dealt.select(F.col("cls").alias("b"), F.col("block").alias("kb"), F.col("id").alias("ib")), ["b", "kb"]).where("ia <> ib").where("a <> b or ka <> kb or ia < ib")
+    return single.unionByName(both.select("field", "ia", "ib")).select("field", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def all_pairs(docs: DataFrame, like: Likeness, exact: bool = False) -> DataFrame:
+    """id_a, id_b: all_field_pairs of one field."""
+    return all_field_pairs(*_single(docs, like), exact).drop("field")
 
 
 def pairs(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -262,13 +394,18 @@ def pairs(docs: DataFrame, like: Likeness) -> DataFrame:
     return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
 
-def groups(docs: DataFrame, like: Likeness) -> DataFrame:
-    """id, group_id, links: every record that has a run of words, the smallest id of the group it belongs to by chains of alike
-    records, and the number of other classes its text is alike to."""
-    alike, members = class_pairs(docs, like)
+def field_groups(docs: DataFrame, likes: dict[str, Likeness]) -> DataFrame:
+    """field, id, group_id, links: every record that has a run of words, the smallest id of the group it belongs to by chains of alike
+    records, and the number of other classes its text is alike to. docs: field, id, text."""
+    alike, members = _class_pairs(docs, likes)
     comp = components(alike).withColumnRenamed("node", "cls")
     links = alike.select(F.col("a").alias("cls")).union(alike.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     classes = members.groupBy("cls").agg(F.min("id").alias("first")).join(comp, "cls", "left").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = classes.groupBy("component").agg(F.min("first").alias("group_id"))
     of_class = classes.join(named, "component").select("cls", "group_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    return salted_join(members, of_class, "cls").select("id", "group_id", "links")
+    return salted_join(members, of_class, "cls").select("field", "id", "group_id", "links")
+
+
+def groups(docs: DataFrame, like: Likeness) -> DataFrame:
+    """id, group_id, links: field_groups of one field."""
+    return field_groups(*_single(docs, like)).drop("field")

@@ -50,6 +50,11 @@ _P4 = (
     + " SELECT 'clause_text' AS field, id_a, id_b FROM c_f UNION ALL SELECT 'title', id_a, id_b FROM t_f"
 )
 
+_P4_MULTISET = """WITH w AS (SELECT clause_id AS id, regexp_extract_all(lower(original_text), '[a-z0-9]+') AS w FROM (SELECT DISTINCT clause_id, original_text FROM policy_clause WHERE clause_id IS NOT NULL)),
+ s AS (SELECT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s, count(*) AS k FROM w, unnest(range(1, len(w) - 3)) AS u(i) GROUP BY 1, 2),
+ n AS (SELECT id, sum(k) AS n FROM s GROUP BY 1), p AS (SELECT x.id AS id_a, y.id AS id_b, sum(least(x.k, y.k)) AS common FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
+ SELECT id_a, id_b FROM p JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE common >= 0.8 * (a.n + b.n - common) - 1e-9"""
+
 # ------------------------------------------------------------ p6
 _RECORDS = """r AS (SELECT DISTINCT 'policy_clause' AS source_table, clause_id AS record_id, original_text AS t FROM policy_clause UNION ALL SELECT DISTINCT 'citation', citation_id::VARCHAR, quote FROM citation UNION ALL SELECT DISTINCT 'rule_outcome', outcome_id::VARCHAR, quote FROM rule_outcome)"""
 _SHARED = f"""{_RECORDS},
@@ -82,6 +87,7 @@ _Z = ", ".join(f"({s} - {s}_m) / greatest({f}, CASE WHEN {s}_h > {s}_m THEN {s}_
 ORACLE = {
     "p3_found": _P3,
     "p4_found": _P4,
+    "p4_multiset": _P4_MULTISET,
     "p6_found": f"WITH {_SHARED} SELECT DISTINCT source_table, record_id FROM s",
     "p6_spans": f"WITH {_SHARED} SELECT * FROM spans",
     "p6_report": f"""WITH {_SHARED}, e AS (SELECT *, coalesce(max(span_end) OVER (PARTITION BY source_table, record_id ORDER BY span_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM spans), c AS (SELECT source_table, record_id, sum(greatest(0, span_end - greatest(span_start, before)))::BIGINT AS shared_chars FROM e GROUP BY 1, 2), l AS (SELECT source_table, record_id, coalesce(max(length(t)), 0) AS chars FROM r GROUP BY 1, 2)

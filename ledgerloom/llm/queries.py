@@ -9,7 +9,7 @@ from ledgerloom.llm import oracles
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.canonical import canonical_texts, quotes_only_alike
 from ledgerloom.llm.mixing import draw, mix_marginals, mix_report
-from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, all_pairs, groups
+from ledgerloom.llm.neardup import CLAUSE_TEXT, TITLE, WEIGHTED, all_field_pairs, all_pairs, field_groups
 from ledgerloom.llm.quality import STATISTICS, scored, statistics
 from ledgerloom.llm.scans import line_faults, repaired_texts
 from ledgerloom.llm.spans import shared_spans, sharing_records, sharing_report
@@ -31,18 +31,22 @@ def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
 def _alike_fields(spark: SparkSession, sf: str):
     clause = table(spark, sf, "policy_clause").select(F.col("clause_id").alias("id"), F.col("original_text").alias("text"))
     title = table(spark, sf, "corpus_document").select(F.col("corpus_document_id").alias("id"), F.col("title").alias("text"))
-    return (("clause_text", clause, CLAUSE_TEXT), ("title", title, TITLE))
+    docs = clause.select(F.lit("clause_text").alias("field"), "*").unionByName(title.select(F.lit("title").alias("field"), "*"))
+    return docs, {"clause_text": CLAUSE_TEXT, "title": TITLE}
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (all_pairs(docs, like).select(F.lit(field).alias("field"), "id_a", "id_b") for field, docs, like in _alike_fields(spark, sf))
-    return a.unionByName(b)
+    return all_field_pairs(*_alike_fields(spark, sf))
 
 
 def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every clause and document with words: its group, and the number of different texts its own is alike to."""
-    a, b = (groups(docs, like).select(F.lit(field).alias("field"), "id", "group_id", "links") for field, docs, like in _alike_fields(spark, sf))
-    return a.unionByName(b)
+    return field_groups(*_alike_fields(spark, sf))
+
+
+def p4_multiset(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses whose runs of five words, each as often as it occurs, overlap by 0.8 or more."""
+    return all_pairs(table(spark, sf, "policy_clause").select(F.col("clause_id").alias("id"), F.col("original_text").alias("text")), WEIGHTED)
 
 
 def _scans(spark: SparkSession, sf: str):
@@ -109,5 +113,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return scored(statistics(table(spark, sf, "documents"))).where("words > 0 and not prose").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids, p9_report, p9_draw, p9_marginals, p10_found, p10_stats, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_groups, p4_multiset, p5_found, p5_repaired, p6_found, p6_spans, p6_report, p8_ids, p9_report, p9_draw, p9_marginals, p10_found, p10_stats, p10_scores)}
 ORACLE: dict[str, str] = dict(oracles.ORACLE)

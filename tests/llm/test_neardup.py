@@ -69,12 +69,42 @@ def test_large_classes_and_groups(spark):
 @pytest.mark.parametrize("like", [nd.CLAUSE_TEXT, nd.Likeness(2, 0.7, 5, 60, multiset=True)])
 def test_crowded_buckets(spark, monkeypatch, like):
     """With every bucket too full, the exact way alone finds all pairs."""
-    monkeypatch.setattr(nd, "CROWD", -(10**9))
+    monkeypatch.setattr(nd, "CROWD", 0)
+    monkeypatch.setattr(nd, "BLOCK", 3)
     rows = sample(random.Random(8), 30) + [("n", None), ("e", ""), ("s", "w1 w2 w3"), ("d", "w1 w2 w3 w1 w2 w3 w1")]
     got = {tuple(r) for r in nd.pairs(spark.createDataFrame(rows, "id string, text string"), like).collect()}
     assert got == brute(rows, like)
 
 
+@pytest.mark.parametrize("crowd, in_task", [(3, 10**9), (3, 5), (10**6, 0)])
+def test_buckets_of_any_size(spark, monkeypatch, crowd, in_task):
+    """Crowded buckets, in one task or altogether, lose no pair, whatever the batches."""
+    monkeypatch.setattr(nd, "CROWD", crowd)
+    monkeypatch.setattr(nd, "HOT_IN_TASK", in_task)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = sample(random.Random(9), 30)
+        got = {tuple(r) for r in nd.all_pairs(spark.createDataFrame(rows, "id string, text string"), nd.CLAUSE_TEXT).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute(rows, nd.CLAUSE_TEXT)
+    assert got <= want and len(want - got) <= 0.01 * len(want)
+
+
+def test_exact_way_for_all(spark):
+    rows = sample(random.Random(10), 40)
+    got = {tuple(r) for r in nd.all_pairs(spark.createDataFrame(rows, "id string, text string"), nd.TITLE, exact=True).collect()}
+    assert got == brute(rows, nd.TITLE)
+
+
+def test_two_texts_of_one_id(spark):
+    a = "the claim for room rent is assessed on a pro rata basis and paid promptly after review by the insurer"
+    b = "bills of the hospital are kept by the nominee until the policy year in which they fell due has ended"
+    rows = [("a", a), ("a", b), ("x", a + " today"), ("y", b + " today"), ("z", "nothing alike")]
+    got = {tuple(r) for r in nd.all_pairs(spark.createDataFrame(rows, "id string, text string"), nd.CLAUSE_TEXT).collect()}
+    assert got == {("a", "x"), ("a", "y")}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert nd.pairs(df, nd.TITLE).count() == nd.groups(df, nd.TITLE).count() == 0
