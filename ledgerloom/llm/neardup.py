@@ -310,8 +310,8 @@ def _class_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = Fals
         for rb in batches:
             for field in pc.unique(rb.column(0)).to_pylist():
                 part, like = rb.filter(pc.equal(rb.column(0), field)), likes[field]
-                for at in range(0, part.num_rows, 500):
-                    p = part.slice(at, 500)
+                for at in range(0, part.num_rows, 10_000):
+                    p = part.slice(at, 10_000)
                     n = p.num_rows
                     where: dict[str, int] = {}
                     number = [where.setdefault(t, len(where)) for t in p.column(3).to_pylist() + p.column(4).to_pylist()]
