@@ -11,7 +11,19 @@ ODD = "aeoiAI 0-'\n" + "аеоісроЅΤοօԁ" + "ｅＡ１０　" + "ééñ
 
 def whole(text):
     """The same form made of the whole text at once."""
-    return unicodedata.normalize("NFC", "".join(map(c._plain, unicodedata.normalize("NFD", text))))
+    return c.canon_of(tuple(c.LOOK_ALIKE.items())).segment(text)
+
+
+def test_look_alikes_of_the_confusables_data(spark):
+    table = c.look_alikes(spark)
+    assert len(table) > 200 and all(len(v) == 1 for v in table.values())
+    # Cherokee, Lisu, Coptic, Greek and Latin letters
+    for a, b in [("Ꭺ", "A"), ("Ꮯ", "C"), ("ꓐ", "B"), ("ꓑ", "P"), ("Ⲟ", "O"), ("ο", "o"), ("Ϝ", "F"), ("ɩ", "i"), ("а", "a"), ("Ӏ", "I"), ("ӏ", "l")]:
+        assert table[a] == b
+    assert not {"é", "ø", "ß", "अ", "ا", "–", "٠", "œ"} & set(table)
+    canon = c.Canon(table)
+    text = "Ꭺ ꓐank pаys ｆor “cafés” अस्पताल"
+    assert canon.form(text) == canon.segment(text) == "A Bank pays for “cafés” अस्पताल" and canon.form(canon.form(text)) == canon.form(text)
 
 
 @settings(max_examples=600, deadline=None)
