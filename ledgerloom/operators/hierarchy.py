@@ -34,11 +34,12 @@ class Hierarchy:
     the greater parent label, then the greater label, nulls lowest, so the result doesn't depend on the order
     of rows. Rows whose group or label is null, or whose label has no characters but spaces, are no nodes.
     A null, empty or unknown parent ends the chain: the node is a root of depth 0. An empty input gives an
-    empty result. Other columns of the input are never looked at.
+    empty result. Other columns of the input are never looked at. Without paths only on_circle() can be asked,
+    and no labels are carried.
     """
 
-    def __init__(self, rows: DataFrame, group: str, label: str, parent: str, time: str, split_every: int = SPLIT_EVERY):
-        self.split_every = split_every
+    def __init__(self, rows: DataFrame, group: str, label: str, parent: str, time: str, split_every: int = SPLIT_EVERY, paths: bool = True):
+        self.split_every, self.paths = split_every, paths
         src = rows.select(
             F.col(group).cast("string").alias("grp"), F.col(label).cast("string").alias("label"), F.col(parent).cast("string").alias("parent"), F.col(time).alias("at")
         ).withColumn("key", label_key(F.col("label")))
@@ -95,7 +96,8 @@ class Hierarchy:
     def _solve(self) -> None:
         spark = self.nodes.sparkSession
         none = F.lit(None).cast("bigint")
-        walk = self.links.where("pid is not null").select("id", F.col("pid").alias("ptr"), F.array(F.struct(F.col("pid").alias("id"), F.col("plabel").alias("label"))).alias("seg"), F.col("pstop").alias("done"))
+        hop = F.struct(F.col("pid").alias("id"), *([F.col("plabel").alias("label")] if self.paths else []))
+        walk = self.links.where("pid is not null").select("id", F.col("pid").alias("ptr"), F.array(hop).alias("seg"), F.col("pstop").alias("done"))
         self.walks, lost, n_lost = self._double(walk, "walk")
         # the reduced graph: splitters with a parent, each pointing at the next splitter
         roots = self.links.where("pid is null").select("id")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 
 def canonical_hash(c: Column) -> Column:
     """One notation of a hash: lower case, no outer white space, no leading `sha256:`; empty is no hash."""
@@ -57,8 +59,8 @@ def build_entries(builds: DataFrame) -> DataFrame:
 
 def diff_builds(builds: DataFrame) -> DataFrame:
     """from_build, to_build, corpus_document_id, change over the builds of each source root."""
-    pairs = consecutive(builds, "source_root", "created_on", "delivered_at", "build_id")
+    pairs = cut(consecutive(builds, "source_root", "created_on", "delivered_at", "build_id"), "pairs")  # a row per root and date
     used = pairs.select(F.col("from_id").alias("build_id")).union(pairs.select("to_id")).distinct()
-    entries = build_entries(builds.select("build_id", "documents", "document_hashes").join(used, "build_id", "left_semi"))
+    entries = cut(build_entries(builds.select("build_id", "documents", "document_hashes").join(used, "build_id", "left_semi")), "entries")
     out = diff(entries, pairs, "corpus_document_id", ["document_hash", "clause_set_hash"])
     return out.select(F.col("from_id").alias("from_build"), F.col("to_id").alias("to_build"), "corpus_document_id", "change")

@@ -11,12 +11,12 @@ from ledgerloom.operators.snapshot_diff import diff_builds
 from ledgerloom.session import table
 
 
-def _hierarchy(spark: SparkSession, sf: str) -> Hierarchy:
-    return Hierarchy(table(spark, sf, "clause_spec"), "corpus_document_id", "label", "parent_label", "declared_at")
+def _hierarchy(spark: SparkSession, sf: str, paths: bool = True) -> Hierarchy:
+    return Hierarchy(table(spark, sf, "clause_spec"), "corpus_document_id", "label", "parent_label", "declared_at", paths=paths)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _hierarchy(spark, sf).on_circle().withColumnRenamed("grp", "corpus_document_id")
+    return _hierarchy(spark, sf, paths=False).on_circle().withColumnRenamed("grp", "corpus_document_id")
 
 
 def p1_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
