@@ -82,6 +82,16 @@ def apportion(rows: DataFrame, group: str, row_id: str, weight: str, total: int)
     return rem.select(group, row_id, (F.col("__floor") + F.when(rank <= F.col("__left"), 1).otherwise(0)).cast("bigint").alias("share"))
 
 
+def spread_ratio(rows: DataFrame, group: str, item: str, amount: str, stated: str, num: int, den: int) -> DataFrame:
+    """group, item, cut: each amount times num/den, truncated; what the parts lack of the group's `stated` cut, or have too much, goes in steps of one to the items with the
+    largest amounts (ties to the smaller item), at most one step each. The window is over one group's items."""
+    w = W.partitionBy(group)
+    part = rows.withColumn("__part", F.floor((F.col(amount).cast("decimal(38,0)") * num).cast("decimal(38,0)") / den).cast("bigint"))
+    off = part.withColumn("__off", F.col(stated) - F.sum("__part").over(w)).withColumn("__n", F.row_number().over(w.orderBy(F.desc(amount), item)))
+    step = F.when(F.col("__n") <= F.abs("__off"), F.signum("__off").cast("bigint")).otherwise(0)
+    return off.select(group, item, (F.col("__part") + step).cast("bigint").alias("cut"))
+
+
 def agreement(readings: DataFrame) -> DataFrame:
     """subject, agreement, disposition, paise of readings (subject, reader, paise): agree and USABLE where at least two readers read the same amount,
     and no other; one_reader or disagree and QUARANTINED; no_reading and EVIDENCE_GAP where none read one."""

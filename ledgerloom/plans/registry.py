@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import general, reference
+from ledgerloom.plans import amounts, general, reference
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (general, reference):
+for module in (general, reference, amounts):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
