@@ -91,3 +91,13 @@ def iso_date(c: Column) -> Column:
     dmony = F.concat_ws("-", F.regexp_extract(s, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(s, named, 1), 2, "0"))
     text = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s).when(s.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$"), dmy).when(s.rlike(named), dmony)
     return text.try_cast("date")
+
+
+# Names of document roles and what they stand for.
+ROLE_ALIASES = {"policy": "policy_wording", "policy_wording": "policy_wording", "policy_schedule": "policy_schedule", "hospital_bill": "bill", "bill": "bill", "settlement_letter": "settlement", "settlement": "settlement"}
+
+
+def document_role(c: Column) -> Column:
+    """The role a name stands for, without case and outer spaces; null for any other."""
+    name = F.lower(F.trim(c))
+    return F.coalesce(*[F.when(name == k, v) for k, v in ROLE_ALIASES.items()])

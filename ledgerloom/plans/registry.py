@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import amounts, general, reference
+from ledgerloom.plans import amounts, general, reference, views
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (general, reference, amounts):
+for module in (general, reference, amounts, views):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
