@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import let
+
 # Shapes of printed numbers.
 TOKEN = r"\d[\d,]*(?:\.\d{1,2})?|\d[\d.]*,\d{1,2}"
 STRICT_TOKEN = r"\d[\d,]*\.\d{2}"
 PRICED = r"(?i)(?:rs\.?|inr|\x{20b9})\s*(\d[\d,]*(?:\.\d+)?)"
 UNIT = r"(?i)(\d[\d,\s]*(?:\.\d+)?)\s*(crores?|crs?|lakhs?|lacs?|lak|thousands?|haza?r|k)\b"
+# Shapes of groupings and of whole tokens.
+EQUAL, INDIAN, WESTERN = r"^\d{1,3},\d{3}$", r"^\d{1,3}(,\d{2})+,\d{3}$", r"^\d{1,3}(,\d{3})+$"
+DECIMAL, DECIMAL_COMMA, GROUPED, WHOLE = r"^\d[\d,]*\.\d{1,2}$", r"^\d{1,3}(,\d{2,3})*,\d{2}$", r"^\d{1,3}(,\d{2,3})+$", r"^\d+$"
 # Characters a scan reads for digits, in the order of their digits.
 OCR_FROM, OCR_TO = "OoDQlI|i!LSsBZzGbqgT?A", "0000111111558226699774"
 # Currency signs and words, trailing qualifiers, unit words and suffixes, characters of a scanned number.
@@ -40,9 +45,9 @@ def grouping_style(integer: Column) -> Column:
     """plain, indian, western, ambiguous_equal (both), or invalid."""
     return (
         F.when(~integer.contains(","), "plain")
-        .when(integer.rlike(r"^\d{1,3},\d{3}$"), "ambiguous_equal")
-        .when(integer.rlike(r"^\d{1,3}(,\d{2})+,\d{3}$"), "indian")
-        .when(integer.rlike(r"^\d{1,3}(,\d{3})+$"), "western")
+        .when(integer.rlike(EQUAL), "ambiguous_equal")
+        .when(integer.rlike(INDIAN), "indian")
+        .when(integer.rlike(WESTERN), "western")
         .otherwise("invalid")
     )
 
@@ -51,10 +56,10 @@ def token_class(token: Column) -> Column:
     """What a money token can be read as; decimal commas are told apart and not read."""
     grouped = F.regexp_extract(token, r"^([^.]*)", 1)
     return (
-        F.when(token.rlike(r"^\d[\d,]*\.\d{1,2}$"), F.when(grouped.contains(",") & ~grouped.rlike(r"^\d{1,3}(,\d{2,3})+$"), "malformed").otherwise("strict_decimal"))
-        .when(token.rlike(r"^\d{1,3}(,\d{2,3})*,\d{2}$"), "decimal_comma")
-        .when(token.rlike(r"^\d{1,3}(,\d{2,3})+$"), "grouped_integer")
-        .when(token.rlike(r"^\d+$"), "plain_integer")
+        F.when(token.rlike(DECIMAL), F.when(grouped.contains(",") & ~grouped.rlike(GROUPED), "malformed").otherwise("strict_decimal"))
+        .when(token.rlike(DECIMAL_COMMA), "decimal_comma")
+        .when(token.rlike(GROUPED), "grouped_integer")
+        .when(token.rlike(WHOLE), "plain_integer")
         .otherwise("malformed")
     )
 
@@ -132,11 +137,6 @@ def plain_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[\p{Z}\s]+", " "), r"[\p{Cc}\p{Cf}]", ""), " +", " "))
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value evaluated once however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 AMOUNT = "struct<normalised:string,paise:bigint,format:string,multiplier:bigint,ocr_corrected:boolean,flags:array<string>,confidence:double,error:string>"
 
 

@@ -61,12 +61,6 @@ def src13_by_reference(spark, sf):
     return links.join(docs, "k").select("link_id", "corpus_document_id")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars IS NULL OR text IS NULL THEN 'EMPTY' WHEN n_chars = 0 OR length(trim(text)) = 0 THEN 'BLANK' WHEN n_chars > 20000 THEN 'TOO_LONG' ELSE 'OK' END AS intake FROM documents")
-def src16_intake_check(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.when(F.col("n_chars").isNull() | F.col("text").isNull(), "EMPTY").when((F.col("n_chars") == 0) | (F.length(F.trim("text")) == 0), "BLANK").when(F.col("n_chars") > 20_000, "TOO_LONG").otherwise("OK").alias("intake"))
-
-
 @query(r"SELECT source, doc_count FROM (SELECT regexp_replace(lower(regexp_replace(source, '^[\s_]+|[\s_]+$', '', 'g')), '[\s_]+', '_', 'g') AS source, count(*) AS doc_count FROM documents GROUP BY 1)")
 def src17_source_names(spark, sf):
     name = F.regexp_replace(F.lower(F.regexp_replace("source", r"^[\s_]+|[\s_]+$", "")), r"[\s_]+", "_")
@@ -127,15 +121,28 @@ def prd14_prefix_filter(spark, sf):
     return table(spark, sf, "rule_outcome").where(F.col("rule_id").startswith("RULE-PD") & F.col("outcome").isNotNull()).groupBy("head").agg(F.count(F.lit(1)).alias("outcomes"))
 
 
+#: Texts with identifiers of every kind, as the documents have few; their ids are negative.
+PLANTED = (
+    "PAN ABCDE1234F and mobile 9876543210", "Aadhaar 2345 6789 0123 of the father", 'hash 234567890123\n"196573435217",\nnumber 234567890123', "GSTIN 27ABCDE1234F1Z5, mail a.b@example.org",
+    "UHID: AB12345 Rs 1000000 INR 500000 INT2043376 MPF252125 AB 123456 AB-123456", "company and discrepancy only", "email us, phone later; REG NO 12345 K1234567 ABC1234567", "",
+)
+_DOCS = "docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-k}, '{t}')" for k, t in enumerate(PLANTED, 1)) + ") v(doc_id, text))"
+
+
+def with_planted(spark, sf) -> DataFrame:
+    """doc_id, text of the documents and of the planted texts."""
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-k, t) for k, t in enumerate(PLANTED, 1)], "doc_id bigint, text string"))
+
+
 _REDACT = "text"
 for _k, _p in tx.IDENTIFIERS.items():
     _REDACT = f"regexp_replace({_REDACT}, '{_p}', '<{_k}>', 'g')"
 
 
-@query(rf"SELECT doc_id, sha256(regexp_replace({_REDACT}, '\d', '•', 'g')) AS redacted_hash FROM documents WHERE text IS NOT NULL")
+@query(rf"WITH {_DOCS} SELECT doc_id, sha256(regexp_replace({_REDACT}, '\d', '•', 'g')) AS redacted_hash FROM docs WHERE text IS NOT NULL")
 def prd15_redacted(spark, sf):
     """Allowed columns only, texts without identifiers and digits; hashed here to keep the result small."""
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2(tx.redacted(F.col("text")), 256).alias("redacted_hash"))
+    return with_planted(spark, sf).where("text is not null").select("doc_id", F.sha2(tx.redacted(F.col("text")), 256).alias("redacted_hash"))
 
 
 @query("SELECT CASE WHEN q >= 0.8 THEN 'ADEQUATE' WHEN q >= 0.5 THEN 'LOW' WHEN q IS NULL THEN 'UNKNOWN' ELSE 'CRITICAL' END AS tier, count(*) AS pages FROM (SELECT layout.mean_confidence AS q FROM page_read) GROUP BY 1")
@@ -474,15 +481,15 @@ def txt11_sanitised(spark, sf):
 
 def _by_line(docs: DataFrame) -> DataFrame:
     """Digest lines are left out where only numbers make an identifier."""
-    digest = F.col("line").rlike(r"(?i)(?:hash|sha256|sha16|digest)") | F.col("line").rlike(r'^\s*"[0-9a-f]{8,}"\s*,?\s*$')
+    digest = F.col("line").rlike(tx.DIGEST_WORDS) | F.col("line").rlike(tx.DIGEST_LINE)
     return docs.where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("digest", digest)
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), m AS (SELECT *, regexp_matches(line, '(?i)(?:hash|sha256|sha16|digest)') OR regexp_matches(line, '^\\s*\"[0-9a-f]{8,}\"\\s*,?\\s*$') AS digest FROM l) SELECT kind, sum(n)::BIGINT AS hits, count(DISTINCT doc_id) AS documents FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(line, '{p}')) AS n FROM m" + (" WHERE NOT digest" if k in tx.NUMERIC else "") for k, p in tx.IDENTIFIERS.items()) + ") WHERE n > 0 GROUP BY 1")
+@query("WITH " + _DOCS + ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs WHERE text IS NOT NULL), m AS (SELECT *, regexp_matches(line, '(?i)(?:hash|sha256|sha16|digest)') OR regexp_matches(line, '^\\s*\"[0-9a-f]{8,}\"\\s*,?\\s*$') AS digest FROM l) SELECT kind, sum(n)::BIGINT AS hits, count(DISTINCT doc_id) AS documents FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(line, '{p}')) AS n FROM m" + (" WHERE NOT digest" if k in tx.NUMERIC else "") for k, p in tx.IDENTIFIERS.items()) + ") WHERE n > 0 GROUP BY 1")
 def txt13_identifiers(spark, sf):
     n = lambda k, p: F.when(F.col("digest"), 0).otherwise(F.regexp_count("line", F.lit(p))) if k in tx.NUMERIC else F.regexp_count("line", F.lit(p))
     hits = F.array(*[F.struct(F.lit(k).alias("kind"), n(k, p).cast("bigint").alias("n")) for k, p in tx.IDENTIFIERS.items()])
-    return _by_line(table(spark, sf, "documents")).select("doc_id", F.inline(hits)).where("n > 0").groupBy("kind").agg(F.sum("n").alias("hits"), F.countDistinct("doc_id").alias("documents"))
+    return _by_line(with_planted(spark, sf)).select("doc_id", F.inline(hits)).where("n > 0").groupBy("kind").agg(F.sum("n").alias("hits"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k.lower()}" for k, p in tx.MARKERS.items()) + " FROM documents WHERE text IS NOT NULL")
@@ -490,12 +497,12 @@ def txt14_markers(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", *[F.regexp_count("text", F.lit(p)).cast("bigint").alias(k.lower()) for k, p in tx.MARKERS.items()])
 
 
-@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(text, '{tx.IDENTIFIERS[k]}')" for k in tx.HARD) + f" OR regexp_matches(text, '{tx.PERSON_FIELDS}') THEN 'PRESENT' WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for k, p in tx.IDENTIFIERS.items() if k not in tx.HARD) + " THEN 'SUSPECTED' ELSE 'NONE' END AS pii FROM documents WHERE text IS NOT NULL")
+@query("WITH " + _DOCS + " SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(text, '{tx.IDENTIFIERS[k]}')" for k in tx.HARD) + f" OR regexp_matches(text, '{tx.PERSON_FIELDS}') THEN 'PRESENT' WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for k, p in tx.IDENTIFIERS.items() if k not in tx.HARD) + f" OR regexp_matches(text, '{tx.ANY_FIELD}') THEN 'SUSPECTED' ELSE 'NONE' END AS pii FROM docs WHERE text IS NOT NULL")
 def txt15_pii_class(spark, sf):
-    hard, soft = F.col("text").rlike(tx.PERSON_FIELDS), F.lit(False)
+    hard, soft = F.col("text").rlike(tx.PERSON_FIELDS), F.col("text").rlike(tx.ANY_FIELD)
     for k, p in tx.IDENTIFIERS.items():
         hard, soft = (hard | F.col("text").rlike(p), soft) if k in tx.HARD else (hard, soft | F.col("text").rlike(p))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.when(hard, "PRESENT").when(soft, "SUSPECTED").otherwise("NONE").alias("pii"))
+    return with_planted(spark, sf).where("text is not null").select("doc_id", F.when(hard, "PRESENT").when(soft, "SUSPECTED").otherwise("NONE").alias("pii"))
 
 
 @query(f"WITH {_C} SELECT clause_id, 'SP-' || upper(substr(h, 1, 16)) AS span_id, 'CL-' || upper(substr(h, 1, 20)) AS address FROM (SELECT clause_id, sha256(concat_ws('|', coalesce(document_id, ''), coalesce(page_number::VARCHAR, ''), coalesce(char_start::VARCHAR, ''), coalesce(char_end::VARCHAR, ''), coalesce(original_text, ''))) AS h FROM c)")
@@ -504,7 +511,7 @@ def txt21_span_addresses(spark, sf):
     return _clauses(spark, sf).select("clause_id", F.concat(F.lit("SP-"), F.upper(F.substring(h, 1, 16))).alias("span_id"), F.concat(F.lit("CL-"), F.upper(F.substring(h, 1, 20))).alias("address"))
 
 
-_HEAD = r"^[ \t]*(\d{1,2}(?:\.\d{1,2}){0,3})[.)]?[ \t]+([A-Z][^\n]{2,110})$"
+_HEAD = tx.HEADINGS[0]
 
 
 @query(f"WITH p AS (SELECT DISTINCT ON (page_read_id) page_read_id, layout.text AS t FROM page_read WHERE layout.text IS NOT NULL), l AS (SELECT page_read_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM p) SELECT page_read_id, line_no, regexp_extract(line, '{_HEAD}', 1) AS label, trim(regexp_extract(line, '{_HEAD}', 2)) AS heading FROM l WHERE regexp_matches(line, '{_HEAD}')")
@@ -607,63 +614,18 @@ def txt03_verified_quotes(spark, sf):
     return verify_quotes(q, t)
 
 
-_BILL_LINES = r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '\d[\d,]*\.\d{2}') AS t, trim(regexp_replace(regexp_replace(line, '\d[\d,]*\.\d{2}', ' ', 'g'), '[^A-Za-z]+', ' ', 'g')) AS label FROM l)"
-_VERDICT = "CASE WHEN len(t) = 0 THEN 'no_amount' WHEN regexp_matches(lower(label), '^(sub ?total|total|grand total|net|balance|gst|discount)') THEN 'summary' WHEN length(label) < 3 THEN 'no_label' WHEN len(string_split(label, ' ')) > 12 THEN 'prose' ELSE 'item' END"
-
-
-def _bill_lines(spark, sf):
-    lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    label = F.trim(F.regexp_replace(F.regexp_replace("line", money.STRICT_TOKEN, " "), "[^A-Za-z]+", " "))
-    m = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.regexp_extract_all("line", F.lit(money.STRICT_TOKEN), F.lit(0)).alias("t"), label.alias("label"))
-    summary = F.lower("label").rlike("^(sub ?total|total|grand total|net|balance|gst|discount)")
-    verdict = F.when(F.size("t") == 0, "no_amount").when(summary, "summary").when(F.length("label") < 3, "no_label").when(F.size(F.split("label", " ")) > 12, "prose").otherwise("item")
-    return m.withColumn("verdict", verdict)
-
-
-@query(f"{_BILL_LINES} SELECT doc_id, line_no, label, cast(replace(replace(t[len(t)], ',', ''), '.', '') AS BIGINT) AS paise FROM m WHERE {_VERDICT} = 'item'")
-def ing02_bill_items(spark, sf):
-    return _bill_lines(spark, sf).where("verdict = 'item'").select("doc_id", "line_no", "label", money.decimal_paise(F.element_at("t", -1)).alias("paise"))
-
-
-@query(f"{_BILL_LINES} SELECT doc_id, {_VERDICT} AS verdict, count(*) AS lines FROM m GROUP BY 1, 2")
-def ing04_line_verdicts(spark, sf):
-    return _bill_lines(spark, sf).groupBy("doc_id", "verdict").agg(F.count(F.lit(1)).alias("lines"))
-
-
-@query(f"{_BILL_LINES}, i AS (SELECT doc_id, {_VERDICT} AS v, cast(replace(replace(t[len(t)], ',', ''), '.', '') AS BIGINT) AS paise FROM m) SELECT doc_id, coalesce(sum(CASE WHEN v = 'item' THEN paise END), 0)::BIGINT AS items, max(CASE WHEN v = 'summary' THEN paise END) AS stated FROM i GROUP BY 1 HAVING max(CASE WHEN v = 'summary' THEN paise END) IS NOT NULL")
-def agg13_bill_totals(spark, sf):
-    """What the items of a bill add up to, and the largest total it states."""
-    p = money.decimal_paise(F.element_at("t", -1))
-    rows = _bill_lines(spark, sf).where("size(t) > 0").select("doc_id", "verdict", p.alias("paise"))
-    of = lambda v: F.when(F.col("verdict") == v, F.col("paise"))
-    return rows.groupBy("doc_id").agg(F.coalesce(F.sum(of("item")), F.lit(0)).alias("items"), F.max(of("summary")).alias("stated")).where("stated is not null")
-
-
-_ROLES = {"bill": ("bill", "qty", "rate", "amount"), "settlement": ("settlement", "deduct", "payable", "final"), "policy": ("section", "cover", "means", "policy")}
-
-
-@query("WITH s AS (SELECT doc_id, " + ", ".join(f"{' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::INT' for w in ws)} AS {r}" for r, ws in _ROLES.items()) + " FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN greatest(bill, settlement, policy) = 0 THEN 'unknown' WHEN bill = greatest(bill, settlement, policy) THEN 'bill' WHEN settlement = greatest(bill, settlement, policy) THEN 'settlement' ELSE 'policy' END AS role FROM s")
-def ing13_role_proposals(spark, sf):
-    """The role most of whose words a document has; the first listed of several."""
-    low = F.lower("text")
-    score = {r: sum((low.contains(w).cast("int") for w in ws), F.lit(0)) for r, ws in _ROLES.items()}
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", *[c.alias(r) for r, c in score.items()])
-    top = F.greatest(*_ROLES)
-    return d.select("doc_id", F.when(top == 0, "unknown").otherwise(F.coalesce(*[F.when(F.col(r) == top, r) for r in _ROLES])).alias("role"))
-
-
 @query("SELECT document_id, page_number, count(*) AS readings, count(DISTINCT sha256(layout.text)) AS texts, count_if(layout.text IS NULL) AS without_text FROM page_read GROUP BY 1, 2")
 def src01_page_readings(spark, sf):
     """How often each page was read, and whether the readings agree."""
     return table(spark, sf, "page_read").groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("readings"), F.countDistinct(F.sha2("layout.text", 256)).alias("texts"), F.count_if(F.col("layout.text").isNull()).alias("without_text"))
 
 
-@query("WITH p AS (SELECT DISTINCT ON (page_read_id) page_read_id, document_id, page_number, layout.method AS method, layout.text AS t FROM page_read), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, page_read_id) AS k FROM p WHERE method = 'ocr' OR t IS NULL OR length(t) < 12) SELECT document_id, page_read_id FROM n WHERE k <= 250")
+@query("WITH p AS (SELECT DISTINCT ON (page_read_id) page_read_id, document_id, page_number, layout.method AS method, layout.text AS t FROM page_read), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, page_read_id) AS k FROM p WHERE method = 'ocr' OR t IS NULL OR length(t) < 12) SELECT document_id, page_read_id, k AS place FROM n")
 def src03_scan_pages(spark, sf):
-    """The pages of a document that need a scan, up to the page cap of a document, which is the feature."""
+    """The pages of a document that need a scan, in order; a page cap, if one is wanted, is a bound on `place`."""
     p = table(spark, sf, "page_read").dropDuplicates(["page_read_id"]).select("page_read_id", "document_id", "page_number", F.col("layout.method").alias("method"), F.col("layout.text").alias("t"))
     need = p.where("method = 'ocr' or t is null or length(t) < 12")
-    return need.withColumn("k", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "page_read_id"))).where("k <= 250").select("document_id", "page_read_id")
+    return need.select("document_id", "page_read_id", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "page_read_id")).cast("bigint").alias("place"))
 
 
 @query("SELECT doc_id, '<document_text role=\"' || coalesce(source, 'unknown') || '\">' || chr(10) || regexp_replace(text, '" + tx.ZERO_WIDTH + "', '', 'g') || chr(10) || '</document_text>' AS wrapped FROM documents WHERE text IS NOT NULL")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import amounts, general, reference, views
+from ledgerloom.plans import amounts, general, reading, reference, views
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (general, reference, amounts, views):
+for module in (general, reference, amounts, views, reading):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
