@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,37 @@ class SnapshotStore:
         fs, p = self._fs(f"{self.root}/{sid}/_SUCCESS")
         return fs.exists(p)
 
-    def publish(self, df: DataFrame, label: str) -> str:
+    def publish(self, df: DataFrame, label: str, make_current: bool = False) -> str:
+        """Writes beside the id and renames, so of two writers of one id one wins whole, and readers never see a part."""
         sid = snapshot_id(label, content_hash(df))
         if not self.exists(sid):
-            df.write.mode("overwrite").parquet(f"{self.root}/{sid}")
+            draft = f"{self.root}/_draft-{sid}-{uuid.uuid4().hex}"
+            df.write.parquet(draft)
+            fs, src = self._fs(draft)
+            if not fs.rename(src, self._fs(f"{self.root}/{sid}")[1]):
+                fs.delete(src, True)
+            elif fs.exists(self._fs(f"{self.root}/{sid}/{src.getName()}")[1]):  # another was there already, and ours went into it
+                fs.delete(self._fs(f"{self.root}/{sid}/{src.getName()}")[1], True)
+        if make_current:
+            self.set_current(sid)
         return sid
 
+    def set_current(self, sid: str) -> None:
+        """Points at a published snapshot; FileNotFoundError for any other."""
+        if not self.exists(sid):
+            raise FileNotFoundError(sid)
+        fs, path = self._fs(f"{self.root}/CURRENT")
+        out = fs.create(path, True)
+        out.write(bytearray(sid.encode()))
+        out.close()
+
+    def current(self) -> str | None:
+        """The snapshot pointed at, or None."""
+        fs, path = self._fs(f"{self.root}/CURRENT")
+        if not fs.exists(path):
+            return None
+        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+
     def open(self, sid: str) -> DataFrame:
         if not self.exists(sid):
             raise FileNotFoundError(sid)
@@ -54,4 +81,5 @@ class SnapshotStore:
 
     def list(self) -> list[str]:
         fs, p = self._fs(self.root)
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        names = (x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else ()
+        return sorted(x for x in names if x.startswith("SNAP-"))
