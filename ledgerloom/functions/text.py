@@ -181,3 +181,8 @@ def document_role(c: Column) -> Column:
     """The role a name stands for, without case and outer spaces; null for any other."""
     name = F.lower(F.trim(c))
     return F.coalesce(*[F.when(name == k, v) for k, v in ROLE_ALIASES.items()])
+
+
+def reason(kind: str, **detail: Column) -> Column:
+    """`KIND(name=value, ...)` of details that are numbers, ids or hashes, never texts; a null detail is left out."""
+    return F.concat(F.lit(f"{kind}("), F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in detail.items()]), F.lit(")"))

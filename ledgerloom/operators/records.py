@@ -60,6 +60,24 @@ def cursor_column(*cols: Column) -> Column:
     return F.regexp_replace(F.translate(F.base64(body.cast("binary")), "+/", "-_"), "=+$", "")
 
 
+def decoded_cursor(cursor: Column, fields: int) -> Column:
+    """struct<values, error> of a cursor of `fields` strings, in the JVM: INVALID_CURSOR for more than 512 characters, for what is no URL-safe base64, and for anything but a list of so
+    many strings."""
+    plain = F.translate(cursor, "-_", "+/")
+    ok = (F.length(cursor) <= 512) & cursor.rlike(r"^[A-Za-z0-9_-]+$") & (F.length(cursor) % 4 != 1)
+    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+    values = F.from_json(F.decode(F.unbase64(F.when(ok, padded)), "UTF-8"), "array<string>")
+    good = F.coalesce(F.size(values) == fields, F.lit(False))
+    return F.struct(F.when(good, values).alias("values"), F.when(~good, "INVALID_CURSOR").alias("error"))
+
+
+def fold_steps(rows: DataFrame, group: str, order: list[str], op: str, amount: str, start: Column) -> DataFrame:
+    """group, result: `start` carried through each group's steps in order: subtract, cap, floor, anything else leaves it. Order matters, so the steps of one group are one array."""
+    steps = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(op).alias("__op"), F.col(amount).alias("__v")))).alias("__steps"))
+    move = lambda a, x: F.when(x["__op"] == "subtract", a - x["__v"]).when(x["__op"] == "cap", F.least(a, x["__v"])).when(x["__op"] == "floor", F.greatest(a, x["__v"])).otherwise(a)
+    return steps.select(group, F.aggregate("__steps", start, move).alias("result"))
+
+
 def index_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key the values at index int(share * n) of the sorted values (the last for share 1), by name, without interpolation. Works on counts of
     different values, so equal values and large groups cost nothing extra. Null values aren't counted."""
@@ -135,4 +153,6 @@ def align_lines(left: DataFrame, right: DataFrame, window: int = 6, least: float
             at = best + 1 if best >= 0 else at
         return pd.DataFrame(out, columns=["page", "left_no", "right_no", "score"]).astype({"right_no": "Int64"})
 
+    # new names, so that two readings made of one frame stay apart
+    left, right = (df.select(*[F.col(c).alias(c) for c in ("page", "line_no", "line")]) for df in (left, right))
     return left.groupBy("page").cogroup(right.groupBy("page")).applyInPandas(walk, "page string, left_no bigint, right_no bigint, score double")

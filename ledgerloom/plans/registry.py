@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import amounts, general, reading, reference, views
+from ledgerloom.plans import amounts, general, reading, records, reference, views
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (general, reference, amounts, views, reading):
+for module in (general, reference, amounts, views, reading, records):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
