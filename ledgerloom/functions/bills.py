@@ -71,7 +71,7 @@ def bill_line(line: Column) -> Column:
 
     def judge(m: Column) -> Column:
         kind, dated = summary_kind(line), line.rlike(LINE_DATE)
-        strict, structure = m["strict"].isNotNull(), m["quantity_milli"].isNotNull() & m["rate_paise"].isNotNull()
+        strict, structure = m["strict"].isNotNull(), m["rated"]
         reason = F.when(line.rlike(SUMMARY_WORDS) & kind.isNull(), "SUMMARY_VOCABULARY").when(~strict & ~structure & ~dated, "NO_MONEY_NO_DATE").when(~dated & ~structure & ~strict, "CODE_SHAPED_ONLY")
         return F.struct(reason.isNull().alias("item"), reason.alias("reason"), kind.alias("kind"), m["paise"].alias("paise"), m["strict_paise"].alias("strict_paise"), m["rate_paise"].alias("rate_paise"), m["quantity_milli"].alias("quantity_milli"), m["class"].alias("class"))
 

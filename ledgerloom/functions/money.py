@@ -12,8 +12,9 @@ TOKEN = r"\d[\d,]*(?:\.\d{1,2})?|\d[\d.]*,\d{1,2}"
 STRICT_TOKEN = r"\d[\d,]*\.\d{2}"
 PRICED = r"(?i)(?:rs\.?|inr|\x{20b9})\s*(\d[\d,]*(?:\.\d+)?)"
 UNIT = r"(?i)(\d[\d,\s]*(?:\.\d+)?)\s*(crores?|crs?|lakhs?|lacs?|lak|thousands?|haza?r|k)\b"
-# Shapes of groupings and of whole tokens.
+# Shapes of groupings and of whole tokens; the classes of tokens that can be read.
 EQUAL, INDIAN, WESTERN = r"^\d{1,3},\d{3}$", r"^\d{1,3}(,\d{2})+,\d{3}$", r"^\d{1,3}(,\d{3})+$"
+READABLE = ("strict_decimal", "grouped_integer", "plain_integer")
 DECIMAL, DECIMAL_COMMA, GROUPED, WHOLE = r"^\d[\d,]*\.\d{1,2}$", r"^\d{1,3}(,\d{2,3})*,\d{2}$", r"^\d{1,3}(,\d{2,3})+$", r"^\d+$"
 # Characters a scan reads for digits, in the order of their digits.
 OCR_FROM, OCR_TO = "OoDQlI|i!LSsBZzGbqgT?A", "0000111111558226699774"
@@ -30,15 +31,15 @@ TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
 def whole_paise(digits: Column) -> Column:
-    """Digits with grouping commas to paise."""
-    return F.regexp_replace(digits, ",", "").cast("bigint") * 100
+    """Digits with grouping commas to paise; null where there are none, and for more paise than a bigint holds."""
+    return F.try_multiply(F.regexp_replace(digits, ",", "").try_cast("bigint"), F.lit(100).cast("bigint"))
 
 
 def decimal_paise(amount: Column) -> Column:
-    """`1,180.5` to 118050: the fraction is read by place, further places are rounded half up."""
+    """`1,180.5` to 118050: the fraction is read by place, further places are rounded half up. Null for more paise than a bigint holds."""
     whole = F.regexp_extract(amount, r"^([\d,]+)", 1)
     fraction = F.rpad(F.regexp_extract(amount, r"\.(\d+)$", 1), 3, "0")
-    return whole_paise(whole) + F.substring(fraction, 1, 2).cast("bigint") + F.when(F.substring(fraction, 3, 1) >= "5", 1).otherwise(0)
+    return F.try_add(whole_paise(whole), F.substring(fraction, 1, 2).cast("bigint") + F.when(F.substring(fraction, 3, 1) >= "5", 1).otherwise(0))
 
 
 def grouping_style(integer: Column) -> Column:
@@ -65,7 +66,7 @@ def token_class(token: Column) -> Column:
 
 
 def token_paise(token: Column) -> Column:
-    """Paise of a token, null where its class can't be read."""
+    """Paise of a token, null where its class can't be read, and for more than a bigint holds."""
     kind = token_class(token)
     return F.when(kind == "strict_decimal", decimal_paise(token)).when(kind.isin("grouped_integer", "plain_integer"), whole_paise(token))
 
@@ -278,8 +279,9 @@ def scan_suspicion(token: Column) -> Column:
 
 
 def line_money(line: Column) -> Column:
-    """struct<tokens, amount, class, paise, decimal_reading, strict, strict_paise, rate_paise, quantity_milli, flags> of a bill line. The amount is the last money-shaped token; a
-    decimal comma is refused and its other reading reported; the rate is the token before `x quantity`."""
+    """struct<tokens, amount, class, paise, decimal_reading, strict, strict_paise, rated, rate_paise, quantity_milli, flags> of a bill line. The amount is the last money-shaped token; a
+    decimal comma is refused and its other reading reported; the rate is the token before `x quantity`, and rated whether it can be read. What a token is read as, and so rated and
+    the flags, goes by its class: a readable number of more paise than a bigint holds has null paise only."""
     before = F.regexp_extract_all(F.regexp_extract(line, rf"^(.*?){QUANTITY}", 1), F.lit(TOKEN), F.lit(0))
     seen = F.struct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)).alias("a"), F.regexp_extract_all(line, F.lit(STRICT_TOKEN), F.lit(0)).alias("s"), F.try_element_at(before, F.lit(-1)).alias("rate"), F.regexp_extract(line, QUANTITY, 1).alias("quantity"))
 
@@ -288,11 +290,11 @@ def line_money(line: Column) -> Column:
         return let(F.struct(last.alias("t"), strict.alias("s"), F.when(last.isNotNull(), token_class(last)).alias("kind"), token_paise(last).alias("paise")), lambda y: put(x, y))
 
     def put(x: Column, y: Column) -> Column:
-        refused = y["t"].isNotNull() & y["paise"].isNull()
+        refused = y["t"].isNotNull() & ~y["kind"].isin(*READABLE)
         return F.struct(
             F.size(x["a"]).cast("bigint").alias("tokens"), y["t"].alias("amount"), y["kind"].alias("class"), y["paise"].alias("paise"),
             F.when(y["kind"] == "decimal_comma", F.regexp_replace(y["t"], ",", "").try_cast("bigint")).alias("decimal_reading"), y["s"].alias("strict"), token_paise(y["s"]).alias("strict_paise"),
-            F.when(x["quantity"] != "", token_paise(x["rate"])).alias("rate_paise"),
+            F.coalesce((x["quantity"] != "") & token_class(x["rate"]).isin(*READABLE) & x["rate"].isNotNull(), F.lit(False)).alias("rated"), F.when(x["quantity"] != "", token_paise(x["rate"])).alias("rate_paise"),
             F.when((x["quantity"] != "") & x["rate"].isNotNull(), F.round(x["quantity"].try_cast("decimal(18,4)") * 1000).cast("bigint")).alias("quantity_milli"),
             F.array_compact(F.array(F.when(refused, "AMOUNT_NOT_READABLE"), F.when(refused & (F.size(x["a"]) > F.size(x["s"])), "TOKEN_MISSED_BY_STRICT_RULE"), F.when(~refused & y["s"].isNotNull() & (y["s"] != y["t"]), "TAIL_RULE_AMBIGUOUS"))).alias("flags"),
         )
