@@ -166,3 +166,7 @@ def test_ing02_long_numbers(spark, tmp_path):
 
     got = registry.QUERIES["ing02_bill_lines"](spark, long_tables(spark, tmp_path / "b")).where("doc_id = 1")
     assert [(r.line_no, r.strict_paise) for r in got.orderBy("line_no").collect()] == [(4, None), (5, None), (7, None), (8, 500), (9, 2**63 - 1)]
+
+
+def test_ing07_long_numbers(spark, tmp_path):
+    assert [(r.line_no, r.kind, r.paise) for r in against_sql(spark, tmp_path, "ing07_total_rows", BEYOND)] == [(7, "subtotal", 2**63 - 1)]
