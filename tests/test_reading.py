@@ -170,3 +170,8 @@ def test_ing02_long_numbers(spark, tmp_path):
 
 def test_ing07_long_numbers(spark, tmp_path):
     assert [(r.line_no, r.kind, r.paise) for r in against_sql(spark, tmp_path, "ing07_total_rows", BEYOND)] == [(7, "subtotal", 2**63 - 1)]
+
+
+def test_fun22_long_numbers(spark, tmp_path):
+    got = [(r["class"], r.flags) for r in against_sql(spark, tmp_path, "fun22_line_readings")]
+    assert got[: len(LONG)] == list(LONG.values())
