@@ -175,3 +175,7 @@ def test_ing07_long_numbers(spark, tmp_path):
 def test_fun22_long_numbers(spark, tmp_path):
     got = [(r["class"], r.flags) for r in against_sql(spark, tmp_path, "fun22_line_readings")]
     assert got[: len(LONG)] == list(LONG.values())
+
+
+def test_ing04_long_numbers(spark, tmp_path):
+    assert [r.reason for r in against_sql(spark, tmp_path, "ing04_line_verdicts")] == ["NO_MONEY_NO_DATE"] * 3 + [None] * 2 + ["NO_MONEY_NO_DATE"] + [None] * 3
