@@ -50,6 +50,7 @@ _NUMBER = re.compile(rf"^[\[(\-–|.\s]*(?:p[a@]g[ec]\s*[|:.]?\s*)?(?:\d{{1,4}}|
 _TRAILING_NUMBER = re.compile(r"\s+(?:p[a@]g[ec]\s*)?\d{1,4}\s*(?:/|of)\s*\d{1,4}\s*$", re.I)
 # What imprints begin with.
 _IMPRINT = ("registered office", "insurance is the subject matter of solicitation", "uin ")
+_RUN = re.compile(r"[A-Za-z0-9@|!+$]{3,}")  # of what a repair looks up in a token
 _HEADING = re.compile(r"^\d+(\.\d+)+\s")
 
 
@@ -234,7 +235,7 @@ class Reader:
     def __init__(self, lexicon: Lexicon):
         self.lex = lexicon
         self.fine: set[str] = set()  # tokens that are never misread, wherever they stand
-        self.rare: dict[str, str] = {}  # what words below the lexicon's share say: form -> printed word; left|right -> + (one word) or - (its own hyphen)
+        self.rare: dict[str, str] = {}  # what words below the lexicon's share say: form -> printed word; "left right" -> + (one word) or - (its own hyphen)
         self.fragment = False  # whether the token read is a part of a broken word, of which rare words say nothing
 
     def furniture(self, lines: list[str], paged: bool, titles: list[str], recurring: set[str]) -> list[bool]:
@@ -269,7 +270,7 @@ class Reader:
             return left not in lex.prefixes and left not in lex.known
         right = right.lower()
         joined, own = lex.words.get(left + right, 0), lex.compounds.get(f"{left}-{right}", 0)
-        if not joined and not own and (rarer := self.rare.get(f"{left}|{right}")):
+        if not joined and not own and (rarer := self.rare.get(f"{left} {right}")):
             return rarer == "+"
         if not joined and not own:
             fixed = [c for cost, c in lex.candidates(left + right) if cost < 1]
@@ -356,15 +357,32 @@ class Reader:
     def _fixed_token(self, toks: list[str], k: int) -> str:
         """The token with its misread parts put right; the case of its first letter is kept."""
         t = toks[k]
-        if t in self.fine or not self._misread_at(toks, k):
-            return t
+        return t if t in self.fine or not self._misread_at(toks, k) else self._put_right(toks, k)
+
+    def _put_right(self, toks: list[str], k: int) -> str:
         around = [x.lower().strip(_EDGE_PUNCT) for x in (toks[k - 1] if k else "", toks[k + 1] if k + 1 < len(toks) else "")]
 
         def put(m: re.Match) -> str:
             fixed = self.lex.repair(m[0].lower(), *around) or (None if self.fragment else self.rare.get(m[0].lower()))
             return m[0] if not fixed else fixed.upper() if m[0].isupper() and len(m[0]) > 1 else fixed.capitalize() if m[0][0].isupper() else fixed
 
-        return re.sub(r"[A-Za-z0-9@|!+$]{3,}", put, t)
+        return _RUN.sub(put, toks[k])
+
+    def asks(self, text: str, furn: list[bool]) -> set[str]:
+        """All keys of `rare` that lines and repaired can look up in a text, whatever is answered."""
+        lines = text.split("\n")
+        out = {p for t in {*text.split()} for p in (*parts(t.lower()), *(x.lower() for x in _RUN.findall(t))) if _askable(p)}
+        body = [toks for x, f in zip(lines, furn) if not f and (toks := x.split())]
+        for toks, nxt in zip(body, body[1:]):
+            if toks[-1][-1] not in _HYPHENS:
+                continue
+            right = re.match(r"[^\s\-‐‑/]*", nxt[0].strip(_EDGE_PUNCT))[0]
+            self.fragment = True
+            for last in (toks[-1], self._put_right(toks, len(toks) - 1)):
+                if left := re.search(r"([^\W\d_]+)$", last[:-1]):
+                    out |= {f"{left[1]} {right}".lower(), f"{left[1]}{right}".lower(), f"{left[1].lower()} {right.lower()}", left[1].lower() + right.lower()}
+            self.fragment = False
+        return out
 
     def repaired(self, text: str, paged: bool, titles: list[str], recurring: set[str]) -> str:
         """Paragraphs, separated by an empty line each: furniture dropped, broken words joined, misread words put right."""
@@ -437,7 +455,7 @@ def _unknown(lex: Lexicon, p: str) -> bool:
 
 
 def _rarer(counts: DataFrame, lexicon) -> DataFrame:
-    """key, answer: what words below the lexicon's share say. A misread form has the printed word; the parts left|right of a broken word have + if the
+    """key, answer: what words below the lexicon's share say. A misread form has the printed word; the parts "left right" of a broken word have + if the
     corpus has them as one word more often than with a hyphen, else -. All words with EVIDENCE are looked up, by joins on their skeletons and
     deletions over the distinct forms; none of this comes to the driver."""
 
@@ -472,29 +490,31 @@ def _rarer(counts: DataFrame, lexicon) -> DataFrame:
     own = counts.where("kind = 'c'").select(F.col("a").alias("compound"), F.col("n").alias("own"))
     said = halves.withColumn("w", F.concat("left", "right")).withColumn("compound", F.concat_ws("-", "left", "right"))
     said = said.join(words.withColumnRenamed("n", "one"), "w", "left").join(own, "compound", "left").where(f"greatest(coalesce(one, 0), coalesce(own, 0)) >= {EVIDENCE}")
-    splits = said.select(F.concat_ws("|", "left", "right").alias("key"), F.when(F.coalesce("one", F.lit(0)) > F.coalesce("own", F.lit(0)), "+").otherwise("-").alias("answer"))
+    splits = said.select(F.concat_ws(" ", "left", "right").alias("key"), F.when(F.coalesce("one", F.lit(0)) > F.coalesce("own", F.lit(0)), "+").otherwise("-").alias("answer"))
     return cut(fixes.unionByName(splits), "rarer")
 
 
-def _asked(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """source_table, record_id, rare: the answers to what each record asks, where they are too many to be given to every task."""
+def _asked(rows: DataFrame, lexicon, answers: DataFrame) -> DataFrame:
+    """source_table, record_id, rare: the answers to all that each record can ask, where they are too many to be given to every task. rows: of _prepared, without rare."""
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(lexicon.value)
         for rb in batches:
             out = set()
-            for src, rec, text in zip(*(rb.column(i).to_pylist() for i in range(3))):
-                toks = text.lower().split()
-                out.update((src, rec, p) for t in set(toks) for p in parts(t) if _askable(p))
-                for x, y in zip(toks, toks[1:]):
-                    if x[-1] in _HYPHENS and (halves := _halves(x, y)):
-                        out.update(((src, rec, "|".join(halves)), (src, rec, "".join(halves))))
+            for src, rec, text, title, issuer, recurring in zip(*(rb.column(i).to_pylist() for i in range(6))):
+                furn = reader.furniture(text.split("\n"), src == "page_read", _titles(title, issuer), set(recurring or ()))
+                out.update((src, rec, k) for k in reader.asks(text, furn))
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["source_table", "record_id", "key"])
 
-    asks = rows.select("source_table", "record_id", "text").mapInArrow(forms, "source_table string, record_id string, key string")
+    asks = rows.select("source_table", "record_id", "text", "title", "issuer", "recurring").mapInArrow(forms, "source_table string, record_id string, key string")
     return cut(salted_join(asks, answers, "key").groupBy("source_table", "record_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "answer"))).alias("rare")), "asked")
 
 
+def _titles(title: str | None, issuer: str | None) -> list[str]:
+    return [edge_key(x) for x in (title, issuer) if x and x.strip()]
+
+
 _JUDGED = "source_table string, record_id string, document_id string, page_number int, first string, open int, left string, mark string, line_no array<bigint>, kind array<string>"
 
 
@@ -505,8 +525,7 @@ def _judge(rows: DataFrame, lexicon, given) -> DataFrame:
             out = []
             for src, rec, doc, page, text, title, issuer, recurring, rare in zip(*(rb.column(i).to_pylist() for i in range(9))):
                 reader.rare = given.value if given is not None else dict(rare or ())
-                titles = [edge_key(x) for x in (title, issuer) if x and x.strip()]
-                found, st = reader.lines(text, src == "page_read", titles, set(recurring or ()))
+                found, st = reader.lines(text, src == "page_read", _titles(title, issuer), set(recurring or ()))
                 out.append((src, rec, doc, page, st["first"], st["open"], st["left"], st["mark"], [a for a, _ in found], [b for _, b in found]))
             cols = list(zip(*out)) or [()] * 10
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
@@ -516,8 +535,8 @@ def _judge(rows: DataFrame, lexicon, given) -> DataFrame:
 
 
 def _prepared(pages: DataFrame, clauses: DataFrame, documents: DataFrame):
-    """Records with text and their documents' titles, the frequent lexicon, and the answers of rarer words, broadcast or else with the records. Repeated rows are
-    one record."""
+    """Records with text and their documents' titles, the frequent lexicon, and the answers of rarer words: broadcast, or, where they are many, with the records and as a
+    table. What a record is told is the same either way. Repeated rows are one record."""
     page = pages.where("text is not null and record_id is not null").select(F.lit("page_read").alias("source_table"), "record_id", "document_id", "page_number", "text")
     clause = clauses.where("text is not null and record_id is not null").select(F.lit("policy_clause").alias("source_table"), "record_id", "document_id", F.lit(None).cast("int").alias("page_number"), "text")
     counts = corpus_counts(page.select("text").unionByName(clause.select("text")))
@@ -534,19 +553,34 @@ def _prepared(pages: DataFrame, clauses: DataFrame, documents: DataFrame):
     if answers.count() <= MOST_GIVEN:
         given = page.sparkSession.sparkContext.broadcast({r["key"]: r["answer"] for r in answers.collect()})
         return lines.withColumn("rare", F.lit(None).cast("map<string,string>")), lexicon, given
-    return lines.join(_asked(page.unionByName(clause), answers), ["source_table", "record_id"], "left"), lexicon, None
+    return lines.join(_asked(lines, lexicon, answers), ["source_table", "record_id"], "left"), lexicon, answers
 
 
-def _one_word(lexicon, given):
-    """Whether the last part of a page and the first of the next are one word, without a hyphen of its own."""
+def _one_word(rows: DataFrame, right, lexicon, given) -> DataFrame:
+    """rows with one: whether `left`, the last part of a page, and right, the first of the next, are one word, without a hyphen of its own. given: the answers of rarer
+    words, broadcast or as a table."""
+    first = lambda b: re.match(r"[^\s\-/]*", b)[0] if isinstance(b, str) else None
+    many = isinstance(given, DataFrame)
+    held = None if many else given
+
+    @F.pandas_udf("string")
+    def key(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([f"{a.lower()} {first(b).lower()}" if isinstance(b, str) else None for a, b in zip(left, right)], dtype=object)
 
     @F.pandas_udf("boolean")
-    def goes_on(left: pd.Series, right: pd.Series) -> pd.Series:
-        reader = Reader(lexicon.value)
-        reader.rare = given.value if given is not None else {}
-        return pd.Series([reader.split_word(a, re.match(r"[^\s\-/]*", b)[0] if isinstance(b, str) else None) for a, b in zip(left, right)], dtype=bool)
+    def goes_on(left: pd.Series, right: pd.Series, answer: pd.Series) -> pd.Series:
+        reader, out = Reader(lexicon.value), []
+        for a, b, said in zip(left, right, answer):
+            b = first(b)
+            reader.rare = held.value if held is not None else {f"{a.lower()} {b.lower()}": said} if isinstance(said, str) else {}
+            out.append(reader.split_word(a, b))
+        return pd.Series(out, dtype=bool)
 
-    return goes_on
+    if not many:
+        return rows.withColumn("one", goes_on("left", right, F.lit(None).cast("string")))
+    asking = rows.withColumn("_right", right).withColumn("_key", key("left", "_right"))
+    told = asking.join(given.withColumnsRenamed({"key": "_key", "answer": "_answer"}), "_key", "left")
+    return told.withColumn("one", goes_on("left", "_right", "_answer")).drop("_key", "_right", "_answer")
 
 
 def line_faults(pages: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
@@ -556,14 +590,15 @@ def line_faults(pages: DataFrame, clauses: DataFrame, documents: DataFrame) -> D
     corpus_document_id, title, issuer. Null and empty texts have no such lines; repeated rows count once; a record whose document is
     unknown is judged without title and issuer. Lines are split at the line feed and counted from 1."""
     rows, lexicon, given = _prepared(pages, clauses, documents)
-    judged = cut(_judge(rows, lexicon, given), "judged")
+    held = None if isinstance(given, DataFrame) else given
+    judged = cut(_judge(rows, lexicon, held), "judged")
     inside = judged.select("source_table", "record_id", F.explode(F.arrays_zip("line_no", "kind")).alias("x")).select("source_table", "record_id", "x.line_no", "x.kind")
     # the last body line of a page may go on on the next page
     firsts = judged.where("source_table = 'page_read' and first <> ''").groupBy("document_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min("first").alias("right"))
     open_ = judged.where("open > 0").select("source_table", "record_id", "document_id", "page_number", "open", "left", "mark")
     ends = open_.join(firsts, ["document_id", "page_number"], "left")
 
-    over = ends.where(_one_word(lexicon, given)("left", "right")).select("source_table", "record_id", F.col("open").cast("bigint").alias("line_no"), F.lit("broken_word").alias("kind"))
+    over = _one_word(ends, F.col("right"), lexicon, given).where("one").select("source_table", "record_id", F.col("open").cast("bigint").alias("line_no"), F.lit("broken_word").alias("kind"))
     return inside.unionByName(over).distinct()
 
 
@@ -572,14 +607,15 @@ def repaired_texts(pages: DataFrame, clauses: DataFrame, documents: DataFrame) -
     whole at that page's end, and the next page begins behind it; where a page was read more than once, the first in order of text counts for its neighbours. A
     record without text has no row; where rows of one record differ in text, each has one."""
     rows, lexicon, given = _prepared(pages, clauses, documents)
+    held = None if isinstance(given, DataFrame) else given
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon.value)
         for rb in batches:
             out = []
             for src, rec, doc, page, text, title, issuer, recurring, rare in zip(*(rb.column(i).to_pylist() for i in range(9))):
-                reader.rare = given.value if given is not None else dict(rare or ())
-                out.append((src, rec, doc, page, reader.repaired(text, src == "page_read", [edge_key(x) for x in (title, issuer) if x and x.strip()], set(recurring or ()))))
+                reader.rare = held.value if held is not None else dict(rare or ())
+                out.append((src, rec, doc, page, reader.repaired(text, src == "page_read", _titles(title, issuer), set(recurring or ()))))
             cols = list(zip(*out)) or [()] * 5
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["source_table", "record_id", "document_id", "page_number", "repaired"])
@@ -591,7 +627,7 @@ def repaired_texts(pages: DataFrame, clauses: DataFrame, documents: DataFrame) -
     begin = F.regexp_extract("repaired", r"^(\p{L}\S*)", 1)
     tails = of_pages.select("document_id", "page_number", left.alias("left")).where("left <> ''").groupBy("document_id", "page_number").agg(F.min("left").alias("left"))
     heads = of_pages.select("document_id", (F.col("page_number") - 1).alias("page_number"), begin.alias("begin")).where("begin <> ''").groupBy("document_id", "page_number").agg(F.min("begin").alias("begin"))
-    over = tails.join(heads, ["document_id", "page_number"]).withColumn("one", _one_word(lexicon, given)("left", F.regexp_extract("begin", r"^([\p{L}\p{M}]+)", 1)))
+    over = _one_word(tails.join(heads, ["document_id", "page_number"]), F.regexp_extract("begin", r"^([\p{L}\p{M}]+)", 1), lexicon, given)
     over = cut(over, "over")
     out = done.join(over.select("document_id", "page_number", "left", "begin", "one"), ["document_id", "page_number"], "left")
     out = out.join(over.select("document_id", (F.col("page_number") + 1).alias("page_number"), F.col("begin").alias("taken")), ["document_id", "page_number"], "left")

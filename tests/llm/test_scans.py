@@ -88,3 +88,23 @@ def test_rare_words_say_nothing_of_fragments():
     r = s.Reader(s.Lexicon({"the": 9, "claim": 9}, {}, {}).prepare())
     r.rare = {"hold": "hoid", "exarnine": "examine"}
     assert r.repaired("the with-\nhold claim exarnine", False, [], set()).endswith("hold claim examine")
+
+
+def test_answers_given_and_joined_are_the_same(spark, monkeypatch):
+    """Rare words broken over a page's end or over furniture, misread between marks, and a token that looks like the key of a broken word."""
+    pages = [("p", "d", 1, "the room\nthe claim super|vision for exarnine/and;subrnit\nthe claim of super-"), ("q", "d", 2, "vision and the claim\nthe room with the claim")]
+    pages = spark.createDataFrame(pages, "record_id string, document_id string, page_number int, text string")
+    rest = [(f"e{k}", "d", f"the supervision of the claim {k} examine and submit the claim") for k in range(6)]
+    over = [("over", "d", "the claim for super-\n- 22 -\nvision and the claim"), ("in", "d", "the claim for super-\nvision and the claim"), ("w", "d", "exarnine the claim and subrnit the claim")]
+    clauses = spark.createDataFrame([("big", "d", BODY * 10_000), ("known", "d", "super vision " * 900), *over, *rest], "record_id string, document_id string, text string")
+    docs = spark.createDataFrame([("d", "x", "y")], "corpus_document_id string, title string, issuer string")
+    for most in (200_000, 0):
+        monkeypatch.setattr(s, "MOST_GIVEN", most)
+        faults = {(r.record_id, r.line_no, r.kind) for r in s.line_faults(pages, clauses, docs).collect()}
+        assert faults == {("w", 1, "misread"), ("p", 2, "misread"), ("p", 3, "broken_word"), ("in", 1, "broken_word"), ("over", 1, "broken_word"), ("over", 2, "furniture")}, most
+        got = {r.record_id: r.repaired for r in s.repaired_texts(pages, clauses, docs).where("record_id in ('p', 'q', 'over')").collect()}
+        assert got == {
+            "p": "the room the claim super|vision for examine/and;submit the claim of supervision",
+            "q": "and the claim the room with the claim",
+            "over": "the claim for supervision and the claim",
+        }, most
