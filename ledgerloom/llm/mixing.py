@@ -7,7 +7,8 @@ is certain; documents enter by order sampling for the rest: each has a fixed ran
 below their source's threshold are taken; keys k are placed at k / (1 + k), below 1. Thresholds come from histograms of these keys, so that the tokens drawn meet the
 target to within a few documents, and nothing is sorted or gathered.
 
-Up to MOST_CELLS cells are raked as arrays on the driver; more are raked as a table, by the same steps.
+Up to MOST_CELLS cells are raked as arrays on the driver; more are raked as a table, by the same steps and as many, so the rates are the same but for the
+rounding of doubles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from ledgerloom.session import cut
 
 ROUNDS = 50
 MOST_CELLS = 100_000  # so many cells are raked on the driver and their rates broadcast
-TABLE_ROUNDS, CLOSE = 12, 1e-6  # rounds of raking a table; how near its sources come to their targets
+TABLE_ROUNDS, CLOSE = ROUNDS, 1e-12  # rounds of raking a table, as many as on the driver; how near its sources come to their targets
 BINS = 4_096
 FILL_ROUNDS = 4
 
@@ -72,14 +73,21 @@ def _rake_table(cells: DataFrame, goals: DataFrame) -> DataFrame:
         have = w.groupBy(key).agg(F.sum(F.col("rate") * F.col("tokens")).alias("have"), want.alias("want"))
         return w.join(have, key).withColumn("rate", F.least("cap", F.col("rate") * F.col("want") / F.col("have"))).drop("have", "want")
 
+    def to_sources(w: DataFrame) -> DataFrame:
+        mass, at_cap = F.col("rate") * F.col("tokens"), F.col("rate") >= F.col("cap")
+        have = w.groupBy("source").agg(F.sum(F.when(at_cap, mass).otherwise(0.0)).alias("full"), F.sum(F.when(at_cap, 0.0).otherwise(mass)).alias("open"))
+        full, some = F.col("full"), F.col("open")
+        up = F.when(at_cap, F.col("rate")).otherwise(F.col("rate") * F.try_divide(F.col("target") - full, some))
+        rate = F.when(full + some > F.col("target"), F.col("rate") * F.col("target") / (full + some)).otherwise(up)
+        return w.join(F.broadcast(have), "source").withColumn("rate", F.least("cap", rate)).drop("full", "open")  # a row per target
+
     own = F.sum("tokens") / float(every) * float(total)
     for _ in range(TABLE_ROUNDS):
-        w = cut(towards(towards(w, "language", own), "topic", own), "rake")
-        for _ in range(40):  # where cells reach their cap, the others have to make up for them
-            w = cut(towards(w, "source", F.max("target")), "rake")
-            off = w.groupBy("source").agg((F.sum(F.col("rate") * F.col("tokens")) / F.max("target")).alias("x")).agg(F.max(F.abs(F.col("x") - 1))).first()[0]
-            if off is None or off < CLOSE:
-                break
+        w, short = towards(towards(w, "language", own), "topic", own).withColumn("rate", F.greatest("rate", F.lit(1e-9))), 1
+        while short:  # where cells reach their cap, the others of their source make up for them; each time at least one more does
+            w = cut(to_sources(w), "rake")
+            free = F.max(F.col("rate") < F.col("cap"))
+            short = w.groupBy("source").agg(F.sum(F.col("rate") * F.col("tokens")).alias("have"), F.max("target").alias("want"), free.alias("free")).where(f"free and have < want * (1 - {CLOSE})").limit(1).count()
     return w.select("source", "language", "topic", "rate")
 
 

@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 
 from ledgerloom.llm import mixing as mx
@@ -73,3 +74,17 @@ def test_found_on_labels(spark):
 def test_query(spark, sf, name):
     rows, ok, _, why = compare(spark, sf, name, QUERIES[name], ORACLE.get(name))
     assert ok is not False, why
+
+
+def test_rates_of_arrays_and_of_a_table_are_the_same(spark, monkeypatch):
+    """As many rounds of either; here, cells at their caps in three of them."""
+    assert mx.TABLE_ROUNDS == mx.ROUNDS
+    monkeypatch.setattr(mx, "ROUNDS", 3)
+    monkeypatch.setattr(mx, "TABLE_ROUNDS", 3)
+    sources, langs, topics = (np.array([k // 4 % 2 for k in range(8)]), np.array([k // 2 % 2 for k in range(8)]), np.array([k % 2 for k in range(8)]))
+    tokens, target, cap = np.array([900, 40, 5, 300, 7, 800, 60, 2], float), np.array([1200.0, 2300.0]), np.array([1.0, 3.0])
+    want = mx._rake(sources, langs, topics, tokens, target, cap)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", int(n)) for a, b, c, n in zip(sources, langs, topics, tokens)], "source string, language string, topic string, tokens bigint").coalesce(1)
+    goals = spark.createDataFrame([(f"s{k}", float(cap[k]), float(target[k])) for k in range(2)], "source string, cap double, target double")
+    got = {(r.source, r.language, r.topic): r.rate for r in mx._rake_table(cells, goals).collect()}
+    assert [got[f"s{a}", f"l{b}", f"t{c}"] for a, b, c in zip(sources, langs, topics)] == pytest.approx(want.tolist(), rel=1e-9)
