@@ -15,7 +15,8 @@ UNIT = r"(?i)(\d[\d,\s]*(?:\.\d+)?)\s*(crores?|crs?|lakhs?|lacs?|lak|thousands?|
 # Shapes of groupings and of whole tokens; the classes of tokens that can be read.
 EQUAL, INDIAN, WESTERN = r"^\d{1,3},\d{3}$", r"^\d{1,3}(,\d{2})+,\d{3}$", r"^\d{1,3}(,\d{3})+$"
 READABLE = ("strict_decimal", "grouped_integer", "plain_integer")
-DECIMAL, DECIMAL_COMMA, GROUPED, WHOLE = r"^\d[\d,]*\.\d{1,2}$", r"^\d{1,3}(,\d{2,3})*,\d{2}$", r"^\d{1,3}(,\d{2,3})+$", r"^\d+$"
+# Groups of changing width are possessive: otherwise the JVM takes a stack frame for each, and a number of some 2,000 groups ends the executor.
+DECIMAL, DECIMAL_COMMA, GROUPED, WHOLE = r"^\d[\d,]*\.\d{1,2}$", r"^\d{1,3}(?:,\d{2,3}(?=,))*+,\d{2}$", r"^\d{1,3}(?:,\d{2,3})++$", r"^\d+$"
 # Characters a scan reads for digits, in the order of their digits.
 OCR_FROM, OCR_TO = "OoDQlI|i!LSsBZzGbqgT?A", "0000111111558226699774"
 # Currency signs and words, trailing qualifiers, unit words and suffixes, characters of a scanned number.

@@ -179,3 +179,23 @@ def test_fun22_long_numbers(spark, tmp_path):
 
 def test_ing04_long_numbers(spark, tmp_path):
     assert [r.reason for r in against_sql(spark, tmp_path, "ing04_line_verdicts")] == ["NO_MONEY_NO_DATE"] * 3 + [None] * 2 + ["NO_MONEY_NO_DATE"] + [None] * 3
+
+
+# ---------------------------------------------------------------- numbers of very many groups
+
+MANY = {"1" + ",23" * 3000: ("decimal_comma", "AMOUNT_NOT_READABLE TOKEN_MISSED_BY_STRICT_RULE"), "1" + ",234" * 3000: ("grouped_integer", ""), "1" + ",23" * 3000 + ",4": ("malformed", "AMOUNT_NOT_READABLE TOKEN_MISSED_BY_STRICT_RULE"), "bed 1" + ",234" * 3000 + " x 2": ("plain_integer", ""), "Total of ward 1" + ",23" * 3000 + ",456 x 2 12.50": ("strict_decimal", "")}
+
+
+def many_against_sql(spark, path, name):
+    """The rows of a query over the lines of MANY, checked against its SQL."""
+    from ledgerloom.plans import registry
+    from tests.compare import compare
+
+    spark.createDataFrame([(1, "\n".join(MANY))], "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    _, ok, _, why = compare(spark, str(path), name, registry.QUERIES[name], registry.ORACLE[name])
+    assert ok, why[:2000]
+    return registry.QUERIES[name](spark, str(path)).where("doc_id = 1").orderBy("line_no").collect()
+
+
+def test_ing02_many_groups(spark, tmp_path):
+    assert [(r.line_no, r.strict_paise, r.summary) for r in many_against_sql(spark, tmp_path, "ing02_bill_lines")] == [(4, None, False), (5, 1250, True)]
