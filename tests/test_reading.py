@@ -199,3 +199,7 @@ def many_against_sql(spark, path, name):
 
 def test_ing02_many_groups(spark, tmp_path):
     assert [(r.line_no, r.strict_paise, r.summary) for r in many_against_sql(spark, tmp_path, "ing02_bill_lines")] == [(4, None, False), (5, 1250, True)]
+
+
+def test_ing07_many_groups(spark, tmp_path):
+    assert [(r.line_no, r.kind, r.paise) for r in many_against_sql(spark, tmp_path, "ing07_total_rows")] == [(5, "subtotal", 1250)]
