@@ -66,6 +66,11 @@ def token_class(token: Column) -> Column:
     )
 
 
+def strict_tokens(line: Column) -> Column:
+    """What STRICT_TOKEN finds, in one pass: searched for as it is, a run of digits without a fraction is read again from each of its digits."""
+    return F.filter(F.regexp_extract_all(line, F.lit(r"\d[\d,]*+(?:\.\d{2})?"), F.lit(0)), lambda t: t.contains("."))
+
+
 def token_paise(token: Column) -> Column:
     """Paise of a token, null where its class can't be read, and for more than a bigint holds."""
     kind = token_class(token)
@@ -284,7 +289,7 @@ def line_money(line: Column) -> Column:
     decimal comma is refused and its other reading reported; the rate is the token before `x quantity`, and rated whether it can be read. What a token is read as, and so rated and
     the flags, goes by its class: a readable number of more paise than a bigint holds has null paise only."""
     before = F.regexp_extract_all(F.regexp_extract(line, rf"^(.*?){QUANTITY}", 1), F.lit(TOKEN), F.lit(0))
-    seen = F.struct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)).alias("a"), F.regexp_extract_all(line, F.lit(STRICT_TOKEN), F.lit(0)).alias("s"), F.try_element_at(before, F.lit(-1)).alias("rate"), F.regexp_extract(line, QUANTITY, 1).alias("quantity"))
+    seen = F.struct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)).alias("a"), strict_tokens(line).alias("s"), F.try_element_at(before, F.lit(-1)).alias("rate"), F.regexp_extract(line, QUANTITY, 1).alias("quantity"))
 
     def read(x: Column) -> Column:
         last, strict = F.try_element_at(x["a"], F.lit(-1)), F.try_element_at(x["s"], F.lit(-1))

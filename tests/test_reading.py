@@ -203,3 +203,12 @@ def test_ing02_many_groups(spark, tmp_path):
 
 def test_ing07_many_groups(spark, tmp_path):
     assert [(r.line_no, r.kind, r.paise) for r in many_against_sql(spark, tmp_path, "ing07_total_rows")] == [(5, "subtotal", 1250)]
+
+
+def test_fun22_many_groups(spark, tmp_path):
+    assert [(r["class"], r.flags) for r in many_against_sql(spark, tmp_path, "fun22_line_readings")] == list(MANY.values())
+
+
+def test_strict_tokens(spark):
+    for line in ("1.23,4.56", "1.234.56", ",5.00 x ,,6.5 7.255", "1,2,3.45.67", "9" * 100_000 + " 0.50", "", "a.50"):
+        assert one(spark, line, money.strict_tokens) == re.findall(money.STRICT_TOKEN, line if len(line) < 99 else line[-6:])
