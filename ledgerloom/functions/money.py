@@ -286,8 +286,8 @@ def scan_suspicion(token: Column) -> Column:
 
 def line_money(line: Column) -> Column:
     """struct<tokens, amount, class, paise, decimal_reading, strict, strict_paise, rated, rate_paise, quantity_milli, flags> of a bill line. The amount is the last money-shaped token; a
-    decimal comma is refused and its other reading reported; the rate is the token before `x quantity`, and rated whether it can be read. What a token is read as, and so rated and
-    the flags, goes by its class: a readable number of more paise than a bigint holds has null paise only."""
+    decimal comma is refused and its other reading reported; the rate is the token before `x quantity`, and rated whether there is one and it isn't malformed: a decimal comma
+    is a rate, of null paise. What a token is read as, and so rated and the flags, goes by its class: a readable number of more paise than a bigint holds has null paise only."""
     before = F.regexp_extract_all(F.regexp_extract(line, rf"^(.*?){QUANTITY}", 1), F.lit(TOKEN), F.lit(0))
     seen = F.struct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)).alias("a"), strict_tokens(line).alias("s"), F.try_element_at(before, F.lit(-1)).alias("rate"), F.regexp_extract(line, QUANTITY, 1).alias("quantity"))
 
@@ -300,7 +300,7 @@ def line_money(line: Column) -> Column:
         return F.struct(
             F.size(x["a"]).cast("bigint").alias("tokens"), y["t"].alias("amount"), y["kind"].alias("class"), y["paise"].alias("paise"),
             F.when(y["kind"] == "decimal_comma", F.regexp_replace(y["t"], ",", "").try_cast("bigint")).alias("decimal_reading"), y["s"].alias("strict"), token_paise(y["s"]).alias("strict_paise"),
-            F.coalesce((x["quantity"] != "") & token_class(x["rate"]).isin(*READABLE) & x["rate"].isNotNull(), F.lit(False)).alias("rated"), F.when(x["quantity"] != "", token_paise(x["rate"])).alias("rate_paise"),
+            F.coalesce((x["quantity"] != "") & token_class(x["rate"]).isin(*READABLE, "decimal_comma") & x["rate"].isNotNull(), F.lit(False)).alias("rated"), F.when(x["quantity"] != "", token_paise(x["rate"])).alias("rate_paise"),
             F.when((x["quantity"] != "") & x["rate"].isNotNull(), F.round(x["quantity"].try_cast("decimal(18,4)") * 1000).cast("bigint")).alias("quantity_milli"),
             F.array_compact(F.array(F.when(refused, "AMOUNT_NOT_READABLE"), F.when(refused & (F.size(x["a"]) > F.size(x["s"])), "TOKEN_MISSED_BY_STRICT_RULE"), F.when(~refused & y["s"].isNotNull() & (y["s"] != y["t"]), "TAIL_RULE_AMBIGUOUS"))).alias("flags"),
         )

@@ -262,16 +262,21 @@ _RATE = "qty IS NOT NULL AND len(before) > 0 AND (regexp_full_match(before[len(b
 _REASON = f"CASE WHEN regexp_matches(line, '{bl.SUMMARY_WORDS}') AND {_KIND} IS NULL THEN 'SUMMARY_VOCABULARY' WHEN len(s) = 0 AND NOT ({_RATE}) AND NOT regexp_matches(line, '{bl.LINE_DATE}') THEN 'NO_MONEY_NO_DATE' END"
 
 
+def _filled(lines: DataFrame) -> DataFrame:
+    """The lines with anything but spaces, those of Unicode too, as trim() of the SQL takes them off."""
+    return lines.where(F.col("line").rlike(r"[^\p{Zs}]"))
+
+
 @query(f"WITH {_B}, {_MONEY} SELECT doc_id, line_no, {_REASON} IS NULL AS item, {_REASON} AS reason FROM q WHERE trim(line) <> ''")
 def ing04_line_verdicts(spark, sf):
     """Whether a line is a charge, and if not, why."""
-    b = _bill_lines(spark, sf).where("trim(line) <> ''").select("doc_id", "line_no", bl.bill_line(F.col("line")).alias("x"))
+    b = _filled(_bill_lines(spark, sf)).select("doc_id", "line_no", bl.bill_line(F.col("line")).alias("x"))
     return b.select("doc_id", "line_no", "x.item", "x.reason")
 
 
 @query(f"WITH {_B}, {_MONEY}, v AS (SELECT doc_id, {_REASON} AS reason, {_KIND} AS kind FROM q WHERE trim(line) <> '') SELECT doc_id, count(*) FILTER (reason IS NULL AND kind IS NULL) AS charges, count(*) FILTER (kind IS NOT NULL) AS summaries, count(*) FILTER (reason = 'SUMMARY_VOCABULARY') AS vocabulary, count(*) FILTER (reason = 'NO_MONEY_NO_DATE') AS without_money FROM v GROUP BY 1")
 def agg13_bill_stats(spark, sf):
-    b = _bill_lines(spark, sf).where("trim(line) <> ''").select("doc_id", bl.bill_line(F.col("line")).alias("x"))
+    b = _filled(_bill_lines(spark, sf)).select("doc_id", bl.bill_line(F.col("line")).alias("x"))
     n = lambda c: F.count_if(c)
     r, k = F.col("x.reason"), F.col("x.kind")
     return b.groupBy("doc_id").agg(n(r.isNull() & k.isNull()).alias("charges"), n(k.isNotNull()).alias("summaries"), n(r == "SUMMARY_VOCABULARY").alias("vocabulary"), n(r == "NO_MONEY_NO_DATE").alias("without_money"))
@@ -280,7 +285,7 @@ def agg13_bill_stats(spark, sf):
 @query(f"WITH {_B}, {_MONEY} SELECT doc_id, line_no, 'BL-' || upper(substr(sha256(doc_id || '|' || line_no || '|' || line), 1, 16)) AS line_id, CASE WHEN len(s) > 0 AND (NOT contains(split_part(s[len(s)], '.', 1), ',') OR regexp_full_match(split_part(s[len(s)], '.', 1), '\\d{{1,3}}(,\\d{{2,3}})+')) THEN cast(replace(replace(s[len(s)], ',', ''), '.', '') AS BIGINT) END AS strict_paise, {_KIND} IS NOT NULL AS summary FROM q WHERE trim(line) <> '' AND {_REASON} IS NULL")
 def ing02_bill_lines(spark, sf):
     """The lines taken for charges or sums, with their ids and the amount of the strict rule."""
-    b = _bill_lines(spark, sf).where("trim(line) <> ''").select("doc_id", "line_no", "line", bl.bill_line(F.col("line")).alias("x")).where("x.item")
+    b = _filled(_bill_lines(spark, sf)).select("doc_id", "line_no", "line", bl.bill_line(F.col("line")).alias("x")).where("x.item")
     return b.select("doc_id", "line_no", F.concat(F.lit("BL-"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("line_no").cast("string"), "line"), 256), 1, 16))).alias("line_id"), "x.strict_paise", F.col("x.kind").isNotNull().alias("summary"))
 
 

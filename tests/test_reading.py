@@ -212,3 +212,20 @@ def test_fun22_many_groups(spark, tmp_path):
 def test_strict_tokens(spark):
     for line in ("1.23,4.56", "1.234.56", ",5.00 x ,,6.5 7.255", "1,2,3.45.67", "9" * 100_000 + " 0.50", "", "a.50"):
         assert one(spark, line, money.strict_tokens) == re.findall(money.STRICT_TOKEN, line if len(line) < 99 else line[-6:])
+
+
+def test_ing04_many_groups(spark, tmp_path):
+    assert [r.reason for r in many_against_sql(spark, tmp_path, "ing04_line_verdicts")] == ["NO_MONEY_NO_DATE"] * 3 + [None] * 2
+
+
+def test_ing04_rates_and_spaces(spark, tmp_path):
+    from ledgerloom.plans import registry
+    from tests.compare import compare
+
+    lines = ["bed 350,00 x 2", "bed 1,5,0 x 2", "bed 3,50,00 x 2", " ", "   ", "\t", "bed ", "  5.00"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("ing04_line_verdicts", "ing02_bill_lines", "agg13_bill_stats"):
+        _, ok, _, why = compare(spark, str(tmp_path), name, registry.QUERIES[name], registry.ORACLE[name])
+        assert ok, why
+    got = registry.QUERIES["ing04_line_verdicts"](spark, str(tmp_path)).where("doc_id = 1").orderBy("line_no").collect()
+    assert [(r.line_no, r.item) for r in got] == [(1, True), (2, False), (3, True), (6, False), (7, False), (8, True)]
