@@ -26,24 +26,27 @@ def _level(h: np.ndarray, latest: np.ndarray, bag: np.ndarray, seed: np.ndarray,
     """Runs the processes of one level to their ends. A point's upper half is its time, its lower half its register; place(live, point) says which points lie below
     the weight, where not all do."""
     bags, t, base = len(latest), np.zeros(len(bag)), bag * m
-    own, turn = np.arange(len(bag)), 0
+    own, turn, due = np.arange(len(bag) if place else 0), 0, 1
     low, regs = np.uint64(0xFFFFFFFF), np.uint64(m)
     with np.errstate(over="ignore"):
         while len(bag):
             turn += 1
             seed = seed + _G
             r = mix(seed)
-            t = t - np.log(((r >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32) / width
+            step = np.log(((r >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+            t = t - (step if width == 1 else step / width)
             live = np.flatnonzero(t < latest[bag])
-            if len(live) < len(bag):
-                bag, seed, t, r, base, own = bag[live], seed[live], t[live], r[live], base[live], own[live]
+            if len(live) < 0.9 * len(bag) or not len(live):  # later points than the latest register change nothing
+                bag, seed, t, r, base = bag[live], seed[live], t[live], r[live], base[live]
+                own = own[live] if place else own
             at = base + ((r & low) * regs >> np.uint64(32)).astype(np.int64)
             if place is None:
                 np.minimum.at(h, at, t)
             else:
                 ok = place(own, r)
                 np.minimum.at(h, at[ok], t[ok])
-            if turn < 4 or turn % 3 == 0:
+            if turn >= due:  # else latest stays too late, which costs points, not truth
+                due = turn + 1 + turn // 8 + 2 * (turn > 2)
                 np.max(h.reshape(bags, m), axis=1, out=latest)
 
 

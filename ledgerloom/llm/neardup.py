@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bagminhash import bands, mix, signatures
 from ledgerloom.operators.components import components
 from ledgerloom.operators.skew import salted_join
-from ledgerloom.session import cut
+from ledgerloom.session import cut, discard
 
-_WORDS = re.compile(r"[a-z0-9]+").findall
+#: Bytes of lower-case words, all others as spaces; of UTF-8, so letters beyond ASCII are no part of a word.
+_OF_WORDS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 EXPAND = 64  # copies: classes up to this size are expanded into all pairs, larger ones are given as pairs with their representative
 BLOCK = 512  # members of a group are paired in blocks of about so many
 BATCH_ITEMS = 25_000
 CROWD = 1_000  # buckets of more classes aren't paired within; their classes take the exact way
 COUNTERS = 1 << 16  # in which a task counts its own buckets
+PARTS = 3  # in which the bands are shuffled and paired, one after the other, so that one part at a time is on disk twice
 HOT_IN_TASK = 4 * CROWD  # a bucket whose counter is fuller in one task is crowded; its further classes don't leave for the bucket at all
 
 
@@ -53,7 +56,7 @@ WEIGHTED = Likeness(run=5, threshold=0.80, rows=6, bands=36, multiset=True)
 class _Hashed(dict):
     """Hashes of words, each made once per worker."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -69,12 +72,12 @@ class _Bags:
         """bag, run hash, count; sorted by bag and hash. At most 65,536 texts at a time."""
         if len(self.words) > 1_000_000:
             self.words.clear()
-        hashed, sizes, known = [], [], self.words.__getitem__
+        hashed, sizes, known = array("Q"), [], self.words.__getitem__
         for t in texts:
-            ws = _WORDS(t.lower()) if t else ()
+            ws = t.lower().encode().translate(_OF_WORDS).split() if t else ()
             sizes.append(len(ws))
-            hashed += map(known, ws)
-        h, n = np.array(hashed, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+            hashed.extend(map(known, ws))
+        h, n = np.frombuffer(hashed, dtype=np.uint64), np.array(sizes, dtype=np.int64)
         bag, k = np.repeat(np.arange(len(n)), n), self.like.run
         if len(h) < k:
             return np.array([], np.int64), np.array([], np.uint64), np.array([], np.int64)
@@ -104,12 +107,12 @@ def _bag_keys(bag: np.ndarray, run: np.ndarray, count: np.ndarray, n: int) -> tu
     return key.view(np.int64), total
 
 
-_SIGNED = "field string, id string, text_hash bigint, cls bigint, bands array<bigint>, full array<bigint>"
+_SIGNED = "field string, id string, text_hash bigint, cls bigint, full array<bigint>, " + ", ".join(f"bands{k} array<bigint>" for k in range(PARTS))
 
 
 def _signed(docs: DataFrame, likes: dict[str, Likeness]) -> DataFrame:
-    """field, id, text_hash, cls, bands, full: the class of equal bags of each record that has any run, and, once in each task that meets the class, its
-    buckets; full has those that are crowded in this task already."""
+    """field, id, text_hash, cls, full, bands0, bands1, ...: the class of equal bags of each record that has any run, and, once in each task that meets the class,
+    its buckets, dealt to PARTS columns; full has those that are crowded in this task already."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,23 +152,26 @@ def _signed(docs: DataFrame, likes: dict[str, Likeness]) -> DataFrame:
                     some = total > 0
                     first = new[some]
 
-                    def lists(mask: np.ndarray) -> pa.ListArray:
-                        each = np.zeros(len(first), np.int64)
-                        each[first] = mask.sum(axis=1)
-                        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(hs[mask]))  # noqa: B023
+                    def lists(mask: np.ndarray, part: slice) -> pa.ListArray:
+                        each, mask = np.zeros(len(first), np.int64), mask[:, part]  # noqa: B023
+                        each[first] = mask.sum(axis=1)  # noqa: B023
+                        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(hs[:, part][mask]))  # noqa: B023
 
                     kept = pa.array(some)
-                    yield pa.RecordBatch.from_arrays([*(rb.column(i).filter(kept) for i in range(3)), pa.array(key[some]), lists(~hot), lists(hot)], names=[x.split(" ")[0] for x in _SIGNED.split(", ")])
+                    parts = [lists(~hot, slice(k, None, PARTS)) for k in range(PARTS)]
+                    yield pa.RecordBatch.from_arrays([*(rb.column(i).filter(kept) for i in range(3)), pa.array(key[some]), lists(hot, slice(None)), *parts], names=[x.split(" ")[0] for x in _SIGNED.split(", ")])
 
     return docs.where("id is not null").select("field", "id", "text_hash", "text").mapInArrow(sign, _SIGNED)
 
 
 def _meet(rows: DataFrame) -> DataFrame:
     """a, b: the pairs of classes that share a bucket of at most CROWD; a alone: the classes of a crowded one. rows: band, cls; a null cls says that the
-    bucket is crowded. A task reads its buckets sorted and holds at most CROWD + 1 classes of the one that goes on."""
+    bucket is crowded. A task reads its buckets one after the other and holds at most CROWD classes of the one that goes on. They are sorted by band alone,
+    which Spark does by radix; the classes of the few buckets that have several are put in order here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_band, held, full = None, np.array([], np.int64), False  # the bucket the last batch ended in
+        none = np.array([], np.int64)
+        last, held, full = none, none, False  # the bucket the last batch ended in, its classes, and whether it is crowded and they are given already
 
         def out(a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
@@ -177,63 +183,34 @@ def _meet(rows: DataFrame) -> DataFrame:
                 d += 1
 
         for rb in batches:
-            band = rb.column(0).to_numpy(zero_copy_only=False)
-            null = np.asarray(rb.column(1).is_null())
-            cls = rb.column(1).fill_null(0).to_numpy(zero_copy_only=False)
-            marked = set(band[null].tolist())
-            band, cls = band[~null], cls[~null]
-            new = np.r_[True, (band[1:] != band[:-1]) | (cls[1:] != cls[:-1])] if len(band) else np.array([], bool)
-            band, cls = band[new], cls[new]
-            if held_band is not None:
-                cut_at = int(np.searchsorted(band, held_band, side="right"))
-                more, band, cls = cls[:cut_at], band[cut_at:], cls[cut_at:]
-                more = more[1:] if len(more) and len(held) and more[0] == held[-1] else more
-                full |= held_band in marked
-                if full:
-                    yield out(more)
-                    held = more[-1:] if len(more) else held
-                else:
-                    held = np.r_[held, more]
-                    if len(held) > CROWD:
-                        full = True
-                        yield out(held)
-                        held = held[-1:]
-                if not len(band):
-                    if marked and max(marked) > held_band:  # a crowded bucket begins with its marks
-                        if not full:
-                            yield from pairs_of(np.full(len(held), held_band), held)
-                        held_band, held, full = max(marked), held[:0], True
-                    continue
-                if not full:
-                    yield from pairs_of(np.full(len(held), held_band), held)
-            elif not len(band):
-                if marked:
-                    held_band, held, full = max(marked), cls, True
+            if not rb.num_rows:
                 continue
+            null = np.r_[np.zeros(len(held), bool), np.asarray(rb.column(1).is_null())]
+            band = np.r_[np.repeat(last, len(held)), rb.column(0).to_numpy(zero_copy_only=False)]
+            cls = np.r_[held, rb.column(1).fill_null(0).to_numpy(zero_copy_only=False)]
+            marked = np.union1d(band[null], last) if full else np.unique(band[null])
+            last = band[-1:]
             first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
             size = np.diff(np.r_[first, len(band)])
-            tail = slice(first[-1], len(band))
-            held_band, held = band[-1], cls[tail]
-            full = len(held) > CROWD or int(held_band) in marked
-            if full:
-                yield out(held)
-                held = held[-1:]
-            crowded = (size > CROWD) | (np.isin(band[first], np.fromiter(marked, np.int64, len(marked))) if marked else False)
-            crowded[-1] = True  # handled above
-            rows_of = np.repeat(crowded, size)
-            rows_of_full = rows_of.copy()
-            rows_of_full[tail] = False
-            if rows_of_full.any():
-                yield out(cls[rows_of_full])
-            yield from pairs_of(band[~rows_of], cls[~rows_of])
-            if marked and max(marked) > held_band:
-                if not full:
-                    yield from pairs_of(np.full(len(held), held_band), held)
-                held_band, held, full = max(marked), held[:0], True
-        if held_band is not None and not full:
-            yield from pairs_of(np.full(len(held), held_band), held)
-
-    return rows.repartition("band").sortWithinPartitions("band", "cls").mapInArrow(run, "a bigint, b bigint")
+            many = (size > min(1, CROWD)) | np.isin(band[first], marked)
+            many[-1] = True
+            many = np.repeat(many, size) & ~null
+            band, cls = band[many], cls[many]
+            order = np.lexsort((cls, band))
+            band, cls = band[order], cls[order]
+            new = np.r_[True, (band[1:] != band[:-1]) | (cls[1:] != cls[:-1])][: len(band)]
+            band, cls = band[new], cls[new]
+            first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]][: len(band)])
+            size = np.diff(np.r_[first, len(band)])
+            crowded = np.repeat((size > CROWD) | np.isin(band[first], marked), size)
+            if crowded.any():
+                yield out(cls[crowded])
+            ends = band == last
+            held, full = cls[ends & ~crowded], bool((ends & crowded).any() or np.isin(last, marked).any())
+            yield from pairs_of(band[~crowded & ~ends], cls[~crowded & ~ends])
+        yield from pairs_of(np.repeat(last, len(held)), held)
+
+    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a bigint, b bigint")
 
 
 def _one_text(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -246,7 +223,7 @@ def _in_blocks(rows: DataFrame, key: str, item: str, carry: list[str]) -> DataFr
     """Pairs of the rows of each key, x_ and y_ of item and carry, with x_item < y_item. The rows of a key are dealt to blocks of about BLOCK and
     pairs of blocks are joined, so no task pairs a whole large group."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = cut(salted_join(rows, sizes.select(key, "blocks"), key).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")), "dealt")
+    dealt = cut(salted_join(rows, sizes.select(key, "blocks"), key).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")), "dealt", free=True)
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in (item, *carry)]
     left = dealt.select(key, *named("x"), F.col("block").alias("i"), F.explode(F.filter(other, lambda k: k >= F.col("block"))).alias("j"))
@@ -275,12 +252,12 @@ def _exact_candidates(classes: DataFrame, members: DataFrame, docs: DataFrame, l
                 n = len(run)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[bag]), pa.array(run.view(np.int64)), pa.array(count), pa.array(size[bag]), pa.array(np.full(n, like.threshold))], names=["cls", "run", "count", "size", "least"])
 
-    runs = cut(texts.mapInArrow(explode, "cls bigint, run bigint, count bigint, size bigint, least double"), "runs")
+    runs = cut(texts.mapInArrow(explode, "cls bigint, run bigint, count bigint, size bigint, least double"), "runs", free=True)
     df = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
     w = W.partitionBy("cls").orderBy("df", "run").rowsBetween(W.unboundedPreceding, -1)  # the runs of one text
     before = F.coalesce(F.sum("count").over(w), F.lit(0))
     prefix = salted_join(runs, df, "run").withColumn("before", before).where("before <= size - ceil(size * (least - 1e-9))").select("cls", "run", "size", "least")
-    pairs = _in_blocks(cut(prefix, "prefix"), "run", "cls", ["size", "least"])
+    pairs = _in_blocks(cut(prefix, "prefix", free=True), "run", "cls", ["size", "least"])
     near = "x_size >= y_size * x_least - 1e-6 and y_size >= x_size * x_least - 1e-6"
     return pairs.where(near).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
 
@@ -288,21 +265,25 @@ def _exact_candidates(classes: DataFrame, members: DataFrame, docs: DataFrame, l
 def _class_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(field, a, b, similarity) of the pairs of different classes, a < b, that are alike; and (field, id, cls) of the records. docs: field, id, text."""
     docs = docs.select("field", F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = cut(_signed(docs, likes), "signed")
-    members = signed.select("field", "id", "text_hash", "cls").distinct()
+    signed = cut(_signed(docs, likes), "signed", free=True)
+    members, read = cut(signed.groupBy("field", "id", "cls").agg(F.min("text_hash").alias("text_hash")), "members", free=True), [signed]
     if exact:
-        candidates = _exact_candidates(signed.select("cls").distinct(), members, docs, likes)
+        candidates = _exact_candidates(members.select("cls").distinct(), members, docs, likes)
     else:
-        rows = signed.where("size(bands) > 0").select(F.explode("bands").alias("band"), "cls")
         marks = signed.where("size(full) > 0").select(F.explode("full").alias("band")).distinct().select("band", F.lit(None).cast("bigint").alias("cls"))
-        met = cut(_meet(rows.unionByName(marks)), "met")
+        for k in range(PARTS):
+            rows = signed.where(f"size(bands{k}) > 0").select(F.explode(f"bands{k}").alias("band"), "cls")
+            read.append(cut(_meet(rows.unionByName(marks)), "met", free=True))
+        met = reduce(DataFrame.union, read[1:])
         candidates = met.where("b is not null")
         packed = met.where("b is null").select(F.col("a").alias("cls")).union(signed.where("size(full) > 0").select("cls"))
         if packed.limit(1).count():
-            candidates = candidates.union(_exact_candidates(cut(packed.distinct(), "packed"), members, docs, likes))
-    candidates = cut(candidates.distinct(), "candidates")
+            read.append(cut(packed.distinct(), "packed", free=True))
+            candidates = candidates.union(_exact_candidates(read[-1], members, docs, likes))
+    candidates = cut(candidates.distinct(), "candidates", free=True)
+    discard(*read)
     # one text of each class that has a candidate
-    texts = cut(_one_text(docs, members, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()), "texts")
+    texts = cut(_one_text(docs, members, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()), "texts", free=True)
     pairs = candidates.join(texts.select("field", F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +299,8 @@ def _class_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = Fals
                     bag, run, count = bags_of[field].of(list(where))
                     ends = np.searchsorted(bag, np.arange(len(where) + 1))
                     whole = np.bincount(bag, weights=count, minlength=len(where))
-                    sim = np.zeros(n)
-                    for i in range(n):
+                    sim, sizes = np.zeros(n), whole[np.array(number)].reshape(2, n)
+                    for i in np.flatnonzero(sizes.min(axis=0) >= sizes.max(axis=0) * (like.threshold - 1e-9)):  # else the sizes alone tell that they aren't alike
                         x, y = number[i], number[n + i]
                         s, t = slice(ends[x], ends[x + 1]), slice(ends[y], ends[y + 1])
                         at_y = np.searchsorted(run[t], run[s])
@@ -331,7 +312,9 @@ def _class_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = Fals
                     yield pa.RecordBatch.from_arrays([p.column(0).filter(ok), p.column(1).filter(ok), p.column(2).filter(ok), pa.array(sim).filter(ok)], names=["field", "a", "b", "similarity"])
 
     alike = pairs.select("field", "a", "b", "ta", "tb").mapInArrow(verify, "field string, a bigint, b bigint, similarity double")
-    return cut(alike, "alike"), members.select("field", "id", "cls").distinct()
+    alike = cut(alike, "alike", free=True)
+    discard(candidates, texts)
+    return alike, members.select("field", "id", "cls")
 
 
 def _single(docs: DataFrame, like: Likeness) -> tuple[DataFrame, dict[str, Likeness]]:
@@ -353,11 +336,11 @@ def all_field_pairs(docs: DataFrame, likes: dict[str, Likeness], exact: bool = F
 
     docs: field, id, text. The members of a class are dealt to blocks of about BLOCK, and pairs of blocks are joined, so no task pairs whole large classes."""
     alike, members = _class_pairs(docs, likes, exact)
-    sizes = cut(members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only"), F.min("field").alias("field")), "sizes")
+    sizes = cut(members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only"), F.min("field").alias("field")), "sizes", free=True)
     side = lambda p: sizes.select(F.col("cls").alias(p), F.col("n").alias(f"n{p}"), F.col("only").alias(f"i{p}"))
-    across = cut(alike.select("field", "a", "b").join(side("a"), "a").join(side("b"), "b"), "across")
+    across = cut(alike.select("field", "a", "b").join(side("a"), "a").join(side("b"), "b"), "across", free=True)
     single = across.where("na = 1 and nb = 1").select("field", "ia", "ib")
-    dealt = cut(salted_join(members, sizes.where("n > 1").select("cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "dealt")
+    dealt = cut(salted_join(members, sizes.where("n > 1").select("cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "dealt", free=True)
     # one member of a single class is a block of its own
     large = across.where("na > 1 or nb > 1")
     ends = large.where("na = 1").select(F.col("a").alias("cls"), F.col("ia").alias("id")).union(large.where("nb = 1").select("b", "ib")).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: list[str] = []
 _WRITTEN: list[str] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "12g", **extra: str) -> SparkSession:
@@ -55,20 +56,43 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[0]
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", free: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and losing an executor
-    later costs a read of these files, not a recomputation. Column pruning still reaches the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    later costs a read of these files, not a recomputation. Column pruning still reaches the files. free: the shuffle files of this write go as
+    soon as the table is there, not when the driver happens to collect its garbage."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_FREE, None)
+    if free:
+        spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut gave, which nothing reads any more; ValueError if one of them isn't such a table."""
+    for df in tables:
+        folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        paths = [p for p in _WRITTEN if {p.rpartition("/")[2]} == folders]
+        if not paths:
+            raise ValueError(f"not a table that cut wrote: {sorted(folders)}")
+        _delete(df.sparkSession, paths[0])
+        _WRITTEN.remove(paths[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> int:
     """Deletes the tables that cut has written in this Python process so far, once results that read them have been stored. Returns their number."""
-    conf, n = spark._jsc.hadoopConfiguration(), len(_WRITTEN)
+    n = len(_WRITTEN)
     for path in _WRITTEN:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
     _WRITTEN.clear()
     return n

@@ -127,3 +127,47 @@ def test_all_pairs_of_large_classes(spark, monkeypatch):
     rows = [(f"t{k:03}", " ".join(r.sample(words, 7)).title()) for k in range(nd.EXPAND + 20)] + [(f"u{k}", " ".join(words + ["theta"])) for k in range(30)] + [("v", "other words"), ("w", None)]
     got = [tuple(x) for x in nd.all_pairs(spark.createDataFrame(rows, "id string, text string"), nd.TITLE).collect()]
     assert set(got) == brute(rows, nd.TITLE) and len(got) == len(set(got)) == 114 * 113 // 2
+
+
+def test_disk_is_freed(spark):
+    """What was read for the last time is deleted: the shuffle files of the steps as soon as their tables are there, and all tables but those that the result reads."""
+    from ledgerloom import session
+
+    kept = list(session._WRITTEN)
+    found = nd.all_pairs(spark.createDataFrame(sample(random.Random(11), 30), "id string, text string"), nd.CLAUSE_TEXT)
+    left = {x.rpartition("/")[2].rpartition("-")[0] for x in session._WRITTEN if x not in kept}
+    assert left == {"alike", "members", "sizes", "across", "dealt", "hot"} and found.count() > 20
+
+    def shuffles():
+        return {x for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split() if "shuffle_" in x}
+
+    before = shuffles()
+    table = session.cut(spark.range(1000).repartition(3, "id"), "freed", free=True)
+    after = shuffles()
+    assert after <= before and table.count() == 1000 and spark.conf.get(session._FREE, None) is None
+    session.discard(table)
+    with pytest.raises(ValueError):
+        session.discard(spark.range(3))
+
+
+def test_meet_of_sorted_batches(spark, monkeypatch):
+    """Buckets that go on over batches, with classes in any order, repeated, crowded, marked before, between or behind."""
+    monkeypatch.setattr(nd, "CROWD", 4)
+    r, rows = random.Random(12), []
+    for band in range(60):
+        classes = r.choices(range(1000), k=r.choice([1, 2, 3, 4, 5, 9]))
+        rows += [(band, c) for c in classes + classes[:2]] + [(band, None)] * (band % 7 == 0)
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [tuple(x) for x in nd._meet(spark.createDataFrame(rows, "band bigint, cls bigint")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs, alone = set(), set()
+    for band in range(60):
+        of = {c for b, c in rows if b == band and c is not None}
+        if len(of) > 4 or (band, None) in rows:
+            alone |= of
+        else:
+            pairs |= {(a, b) for a in of for b in of if a < b}
+    assert {x for x in got if x[1] is not None} == pairs and {a for a, b in got if b is None} == alone
